@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from relief.functions.core import EPS32, clamp, dbl, half_even, is_finite
 from relief.operators.grid import attach, extent
 from relief.operators.stats import exact_percentiles, range_stats
+from relief.session import materialise
 
 TILE = ("scene_id", "_ty", "_tx")
 
@@ -314,8 +315,10 @@ def edge_quality(
     if other:
         grads = grads.withColumn("scene_id", F.col("_scene"))
     grads = grads.withColumns(
-        {"_dm": F.hypot("d_dx", "d_dy"), "_gm": F.hypot("g_dx", "g_dy")}
+        # held as 32-bit, so that equal slopes in different directions compare equal
+        {"_dm": F.hypot("d_dx", "d_dy").cast("float"), "_gm": F.hypot("g_dx", "g_dy").cast("float")}
     )
+    grads = materialise(grads.select(*keys, "row", "col", "_dm", "_gm"))
     moments = grads.groupBy(*keys).agg(
         F.stddev_pop("_dm").alias("_ds"), F.stddev_pop("_gm").alias("_gs"), F.covar_pop("_dm", "_gm").alias("_c")
     )

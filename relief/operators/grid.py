@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from relief.session import materialise
+
 BLOCK_ROWS = 256
 BLOCK_COLS = 4096
 SCENE = ("scene_id",)
@@ -37,11 +39,11 @@ def attach(
 ) -> DataFrame:
     """Join per-scene values back onto cells, spread over cell blocks.
 
-    `per_key` carries n_rows and n_cols covering the cells it will meet. No
-    broadcast hint: Spark broadcasts it when its measured size allows, and
-    otherwise shuffles on a key that splits a hot scene.
+    `per_key` carries n_rows and n_cols covering the cells it will meet. It is
+    written first, so Spark knows its real size: it is broadcast when that is
+    small, and otherwise joined on a key that splits a hot scene.
     """
-    blocks = per_key.withColumn(
+    blocks = materialise(per_key).withColumn(
         "_br", F.explode(F.sequence(F.lit(0), F.expr(f"(n_rows - 1) div {BLOCK_ROWS}").cast("int")))
     ).withColumn(
         "_bc", F.explode(F.sequence(F.lit(0), F.expr(f"(n_cols - 1) div {BLOCK_COLS}").cast("int")))

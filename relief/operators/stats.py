@@ -3,7 +3,8 @@
 `percentile()` keeps every distinct value of a group in one task. Here the two
 order statistics around each requested position are found by counting: a coarse
 monotone bin, then a linear refinement inside the selected bins, then the few
-distinct values left. Every step is a map-side combined aggregate.
+distinct values left. Every step is a map-side combined aggregate, and the
+source is read twice however often the result is used.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relief.functions.core import as_col, dbl, is_finite
 from relief.operators.grid import SCENE, attach, extent_aggs
+from relief.session import materialise
 
 COARSE = 256.0
 FINE = 4096
@@ -82,20 +84,22 @@ def exact_percentiles(
     wanted = [
         f(last * F.lit(float(p))).cast("long") for p in probs.values() for f in (F.floor, F.ceil)
     ]
-    coarse = _holding(
-        coarse.withColumn("_ranks", F.array_distinct(F.array(*wanted))).withColumn(
-            "_before", F.lit(0).cast("long")
-        ),
-        keys,
-        "_b1",
-    ).drop("_n")
+    coarse = materialise(
+        _holding(
+            coarse.withColumn("_ranks", F.array_distinct(F.array(*wanted))).withColumn(
+                "_before", F.lit(0).cast("long")
+            ),
+            keys,
+            "_b1",
+        ).drop("_n")
+    )
 
     span = F.col("_hi") - F.col("_lo")
     fine = F.when(
         span > 0,
         F.least(F.lit(FINE - 1), F.floor((F.col("_v") - F.col("_lo")) / span * FINE)),
     ).otherwise(F.lit(0))
-    distinct = (
+    distinct = materialise(
         attach(rows, coarse.select(*keys, "_b1", "_lo", "_hi", "n_rows", "n_cols"), [*keys, "_b1"])
         .withColumn("_b2", fine.cast("int"))
         .groupBy(*keys, "_b1", "_b2", "_v")

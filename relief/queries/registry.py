@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ("fits", "pixels")
+MODULES = ("fits", "pixels", "filters")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

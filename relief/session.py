@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +30,28 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return session
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches: spark.checkpoint.dir of the session.
+
+    A local run without the setting gets its own temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="relief-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table once into the shared folder and read it back.
+
+    Cuts lineage so that several readers do not recompute it, survives lost
+    executors, and gives Spark the table's real size: a later join broadcasts
+    it only when that size is under spark.sql.autoBroadcastJoinThreshold.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="relief-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/relief-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

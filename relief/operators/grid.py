@@ -36,14 +36,16 @@ def attach(
     keys: Sequence[str] = SCENE,
     how: str = "inner",
     keep_extent: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Join per-scene values back onto cells, spread over cell blocks.
 
     `per_key` carries n_rows and n_cols covering the cells it will meet. It is
     written first, so Spark knows its real size: it is broadcast when that is
-    small, and otherwise joined on a key that splits a hot scene.
+    small, and otherwise joined on a key that splits a hot scene. `stored` says
+    the caller has written it already.
     """
-    blocks = materialise(per_key).withColumn(
+    blocks = (per_key if stored else materialise(per_key)).withColumn(
         "_br", F.explode(F.sequence(F.lit(0), F.expr(f"(n_rows - 1) div {BLOCK_ROWS}").cast("int")))
     ).withColumn(
         "_bc", F.explode(F.sequence(F.lit(0), F.expr(f"(n_cols - 1) div {BLOCK_COLS}").cast("int")))

@@ -100,7 +100,7 @@ def exact_percentiles(
         F.least(F.lit(FINE - 1), F.floor((F.col("_v") - F.col("_lo")) / span * FINE)),
     ).otherwise(F.lit(0))
     distinct = materialise(
-        attach(rows, coarse.select(*keys, "_b1", "_lo", "_hi", "n_rows", "n_cols"), [*keys, "_b1"])
+        attach(rows, coarse.select(*keys, "_b1", "_lo", "_hi", "n_rows", "n_cols"), [*keys, "_b1"], stored=True)
         .withColumn("_b2", fine.cast("int"))
         .groupBy(*keys, "_b1", "_b2", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))

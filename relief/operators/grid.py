@@ -20,13 +20,15 @@ SCENE = ("scene_id",)
 
 def extent(cells: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:
     """Grid size per key, from the cells themselves."""
-    return cells.groupBy(*keys).agg(*extent_aggs())
+    return cells.groupBy(*keys).agg(*extent_aggs()).drop("row_0", "col_0")
 
 
 def extent_aggs() -> list[Column]:
     return [
         (F.max("row") + 1).cast("int").alias("n_rows"),
         (F.max("col") + 1).cast("int").alias("n_cols"),
+        F.min("row").cast("int").alias("row_0"),
+        F.min("col").cast("int").alias("col_0"),
     ]
 
 
@@ -40,16 +42,22 @@ def attach(
 ) -> DataFrame:
     """Join per-scene values back onto cells, spread over cell blocks.
 
-    `per_key` carries n_rows and n_cols covering the cells it will meet. It is
-    written first, so Spark knows its real size: it is broadcast when that is
-    small, and otherwise joined on a key that splits a hot scene. `stored` says
-    the caller has written it already.
+    `per_key` carries n_rows and n_cols covering the cells it will meet, and
+    row_0 and col_0 when they do not start at the origin. It is written first,
+    so Spark knows its real size: it is broadcast when that is small, and
+    otherwise joined on a key that splits a hot scene. `stored` says the caller
+    has written it already.
     """
-    blocks = (per_key if stored else materialise(per_key)).withColumn(
-        "_br", F.explode(F.sequence(F.lit(0), F.expr(f"(n_rows - 1) div {BLOCK_ROWS}").cast("int")))
-    ).withColumn(
-        "_bc", F.explode(F.sequence(F.lit(0), F.expr(f"(n_cols - 1) div {BLOCK_COLS}").cast("int")))
-    )
+    blocks = per_key if stored else materialise(per_key)
+    for block, start, end, side in (
+        ("_br", "row_0", "n_rows", BLOCK_ROWS),
+        ("_bc", "col_0", "n_cols", BLOCK_COLS),
+    ):
+        first = F.expr(f"cast({start} div {side} as int)") if start in per_key.columns else F.lit(0)
+        blocks = blocks.withColumn(
+            block, F.explode(F.sequence(first, F.expr(f"cast(({end} - 1) div {side} as int)")))
+        )
+    blocks = blocks.drop("row_0", "col_0")
     if not keep_extent:
         blocks = blocks.drop("n_rows", "n_cols")
     keyed = cells.withColumn("_br", F.expr(f"row div {BLOCK_ROWS}").cast("int")).withColumn(

@@ -17,6 +17,7 @@ from relief.functions.core import as_col, dbl, is_finite
 from relief.operators.grid import SCENE, attach, extent_aggs
 from relief.session import materialise
 
+EXTENT = ("n_rows", "n_cols", "row_0", "col_0")
 COARSE = 256.0
 FINE = 4096
 
@@ -65,6 +66,7 @@ def exact_percentiles(
     rows = rows.withColumn("_b1", _coarse_bin(F.col("_v")))
 
     whole = Window.partitionBy(*keys)
+    whole_extent = ["_all_rows", "_all_cols", "_first_row", "_first_col"]
     coarse = (
         rows.groupBy(*keys, "_b1")
         .agg(
@@ -78,6 +80,8 @@ def exact_percentiles(
         .withColumn("high", F.max("_hi").over(whole))
         .withColumn("_all_rows", F.max("n_rows").over(whole))
         .withColumn("_all_cols", F.max("n_cols").over(whole))
+        .withColumn("_first_row", F.min("row_0").over(whole))
+        .withColumn("_first_col", F.min("col_0").over(whole))
         .where("_n > 0")
     )
     last = F.col("_total") - 1
@@ -100,13 +104,13 @@ def exact_percentiles(
         F.least(F.lit(FINE - 1), F.floor((F.col("_v") - F.col("_lo")) / span * FINE)),
     ).otherwise(F.lit(0))
     distinct = materialise(
-        attach(rows, coarse.select(*keys, "_b1", "_lo", "_hi", "n_rows", "n_cols"), [*keys, "_b1"], stored=True)
+        attach(rows, coarse.select(*keys, "_b1", "_lo", "_hi", *EXTENT), [*keys, "_b1"], stored=True)
         .withColumn("_b2", fine.cast("int"))
         .groupBy(*keys, "_b1", "_b2", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     wanted_in = coarse.select(
-        *keys, "_b1", "_ranks", "_before", "_total", "low", "high", "_all_rows", "_all_cols"
+        *keys, "_b1", "_ranks", "_before", "_total", "low", "high", *whole_extent
     )
     chosen = _holding(
         distinct.groupBy(*keys, "_b1", "_b2").agg(F.sum("_n").alias("_n")).join(wanted_in, [*keys, "_b1"]),
@@ -121,8 +125,7 @@ def exact_percentiles(
         F.max("_total").alias("n"),
         F.max("low").alias("low"),
         F.max("high").alias("high"),
-        F.max("_all_rows").alias("n_rows"),
-        F.max("_all_cols").alias("n_cols"),
+        *[F.max(c).alias(name) for c, name in zip(whole_extent, EXTENT)],
     )
     end = F.col("n") - 1
     out = []
@@ -131,7 +134,7 @@ def exact_percentiles(
         below = F.element_at("_at", F.floor(position).cast("long"))
         above = F.element_at("_at", F.ceil(position).cast("long"))
         out.append((below + (above - below) * (position - F.floor(position))).alias(name))
-    return found.select(*keys, *out, "n", "low", "high", "n_rows", "n_cols")
+    return found.select(*keys, *out, "n", "low", "high", *EXTENT)
 
 
 def range_stats(cells: DataFrame, value: Column | str, keys: Sequence[str] = SCENE, where=None) -> DataFrame:

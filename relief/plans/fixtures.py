@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relief.functions.core import dbl
+from relief.functions.solar import as_utc
 from relief.operators.grid import number_rows
 
 
@@ -90,7 +91,7 @@ def gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
-        "ts",
+        as_utc(F.col("ts")).alias("ts"),
         (F.col("user_id") % 120 - 60).cast("double").alias("lat"),
         (F.col("event_id") % 360 - 180).cast("double").alias("lon"),
     )

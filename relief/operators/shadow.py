@@ -116,7 +116,9 @@ def shadow_runs(mask: DataFrame, azimuths: DataFrame) -> DataFrame:
     return runs.where(F.col("length") >= MIN_RUN)
 
 
-def height_report(mask: DataFrame, runs: DataFrame, scenes: DataFrame) -> DataFrame:
+def height_report(
+    mask: DataFrame, runs: DataFrame, scenes: DataFrame, min_runs: int = MIN_RUNS
+) -> DataFrame:
     """Distribution of shadow heights per scene, or the reason there is none.
 
     `scenes` has scene_id, elevation (degrees) and pixel_size (metres).
@@ -134,7 +136,10 @@ def height_report(mask: DataFrame, runs: DataFrame, scenes: DataFrame) -> DataFr
         F.when(F.col("elevation").isNull(), "No solar position for the scene")
         .when(elevation_problem(F.col("elevation")).isNotNull(), elevation_problem(F.col("elevation")))
         .when(F.col("_fraction") < MIN_FRACTION, "Too little shadow detected to estimate heights")
-        .when(samples < MIN_RUNS, F.format_string("Only %d shadow runs found; need at least 20", samples))
+        .when(
+            samples < min_runs,
+            F.format_string(f"Only %d shadow runs found; need at least {min_runs}", samples),
+        )
     )
     usable = F.col("reason").isNull()
 

@@ -62,14 +62,15 @@ def solar_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MASK = """tone AS (SELECT scene_id, "row", col, 0.299e0 * (r / 255e0) + 0.587e0 * (g / 255e0) + 0.114e0 * (b / 255e0) AS luma,
   (b / 255e0 + 1e-6) / (r / 255e0 + 1e-6) AS blue FROM rgb),
- cut AS (SELECT scene_id, quantile_cont(luma, 0.3) AS dark, median(blue) AS bluish FROM tone GROUP BY scene_id),
+ cut AS (SELECT scene_id, quantile_cont(luma, 0.9) AS dark, median(blue) AS bluish FROM tone GROUP BY scene_id),
  mask AS (SELECT t.scene_id, "row", col, luma <= dark AND blue >= bluish AS shadow FROM tone t JOIN cut USING (scene_id))"""
-DARKNESS = 0.3
+DARKNESS = 0.9
+LEAST_RUNS = 5
 
 
 @query(
     "shadow_mask",
-    f"""WITH {fx.RGB}, {_MASK.replace('0.3)', '0.12)')} SELECT scene_id, "row", col, shadow FROM mask""",
+    f"""WITH {fx.RGB}, {_MASK.replace('0.9)', '0.12)')} SELECT scene_id, "row", col, shadow FROM mask""",
 )
 def shadow_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shadow.shadow_mask(fx.rgb(spark, sf_dir)).select(*CELL, "shadow")
@@ -109,7 +110,7 @@ _WITH_RUNS = f"WITH RECURSIVE {fx.RGB}, {_MASK}, {_SCENES}, {solar_sql('scene')}
 
 @query("shadow_runs", f"""{_WITH_RUNS} SELECT scene_id, "row", col, length FROM runs""")
 def shadow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs over a mask of the darkest third, so that runs of some length exist."""
+    """Runs over a generous mask, so that runs of some length exist."""
     mask = shadow.shadow_mask(fx.rgb(spark, sf_dir), DARKNESS)
     return shadow.shadow_runs(mask, _scenes(spark, sf_dir))
 
@@ -120,7 +121,7 @@ _HEIGHTS = f"""high AS (SELECT r.scene_id, length * 0.5e0 * tan(radians(elevatio
  why AS (SELECT m.scene_id, coalesce(n, 0) AS n, f, p50, p90, p99, top, CASE WHEN elevation < 10 OR elevation > 80 THEN
    'Solar elevation ' || printf('%.1f', elevation) || ' degrees is outside the 10-80 degree band where shadow length is a reliable height cue'
    WHEN f < 0.005 THEN 'Too little shadow detected to estimate heights'
-   WHEN coalesce(n, 0) < 20 THEN 'Only ' || coalesce(n, 0) || ' shadow runs found; need at least 20' END AS reason
+   WHEN coalesce(n, 0) < 5 THEN 'Only ' || coalesce(n, 0) || ' shadow runs found; need at least 5' END AS reason
   FROM move m JOIN frac USING (scene_id) LEFT JOIN dist USING (scene_id))"""
 
 
@@ -137,7 +138,7 @@ def shadow_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = materialise(shadow.shadow_mask(fx.rgb(spark, sf_dir), DARKNESS))
     scenes = materialise(_scenes(spark, sf_dir))
-    return shadow.height_report(mask, shadow.shadow_runs(mask, scenes), scenes)
+    return shadow.height_report(mask, shadow.shadow_runs(mask, scenes), scenes, LEAST_RUNS)
 
 
 @query(

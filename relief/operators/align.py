@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relief.functions.core import clamp, dbl, is_finite
+from relief.functions.core import dbl, is_finite
 from relief.functions.projection import forward, inverse, reproject_point, transforms_match
 from relief.operators.grid import attach, extent
 from relief.operators.sample import CELL, patch_weights, with_patch
@@ -148,7 +148,7 @@ def resize_elevation(elevation: DataFrame, targets: DataFrame) -> DataFrame:
         "scene_id", "_median", "n_rows", "n_cols"
     )
     filled = attach(elevation, stats, how="left").withColumn(
-        "_f", F.when(ok, dbl("value")).otherwise(F.coalesce("_median", F.lit(0.0)))
+        "_f", F.when(ok, dbl("value")).otherwise(F.coalesce("_median", F.lit(0.0))).cast("float")
     )
     values = resize_bilinear(filled, sizes, "_f")
     masks = resize_nearest(elevation.withColumn("_ok", ok), sizes, "_ok")
@@ -248,7 +248,6 @@ __all__ = [
     "align_elevation",
     "align_same_grid",
     "alignment_mode",
-    "clamp",
     "reproject_elevation",
     "resize_bilinear",
     "resize_elevation",

@@ -192,7 +192,7 @@ def align_same_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESIZE = """size AS (SELECT scene_id, max("row") + 1 AS nr, max(col) + 1 AS nc FROM dem GROUP BY scene_id),
- med AS (SELECT scene_id, median(CAST(value AS DOUBLE)) AS fill FROM dem WHERE valid GROUP BY scene_id),
+ med AS (SELECT scene_id, CAST(CAST(median(CAST(value AS DOUBLE)) AS FLOAT) AS DOUBLE) AS fill FROM dem WHERE valid GROUP BY scene_id),
  src AS (SELECT d.scene_id, "row", col, nr, nc, CASE WHEN valid THEN CAST(value AS DOUBLE) ELSE fill END AS v, valid
    FROM dem d JOIN size USING (scene_id) JOIN med USING (scene_id)),
  wx AS (SELECT scene_id, i, t, greatest(0e0, 1e0 - abs(i + 0.5e0 - (t + 0.5e0) * nc / tc) / greatest(1e0, nc / tc)) AS w

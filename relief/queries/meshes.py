@@ -33,7 +33,7 @@ def _mesh_sql(edge: int) -> str:
 @query(
     "mesh_grid",
     f"""WITH {_SOURCE}, {_mesh_sql(96)} SELECT r.scene_id, CAST(r."row" AS INTEGER) AS "row", CAST(r.col AS INTEGER) AS col,
-      {q6('v', 3)} AS value, valid FROM resized r JOIN nearest n USING (scene_id, "row", col)""",
+      {q6(q6('v'), 3)} AS value, valid FROM resized r JOIN nearest n USING (scene_id, "row", col)""",
 )
 def mesh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, _ = mesh.mesh_grid(fx.truth(spark, sf_dir), "value", F.col("valid"), 96)

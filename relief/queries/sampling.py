@@ -195,17 +195,17 @@ _RESIZE = """size AS (SELECT scene_id, max("row") + 1 AS nr, max(col) + 1 AS nc
  med AS (SELECT scene_id, CAST(CAST(median(CAST(value AS DOUBLE)) AS FLOAT) AS DOUBLE) AS fill FROM dem WHERE valid GROUP BY scene_id),
  src AS (SELECT d.scene_id, "row", col, nr, nc, CASE WHEN valid THEN CAST(value AS DOUBLE) ELSE fill END AS v, valid
    FROM dem d JOIN size USING (scene_id) JOIN med USING (scene_id)),
- wx AS (SELECT scene_id, i, t, greatest(0e0, 1e0 - abs(i + 0.5e0 - (t + 0.5e0) * nc / tc) / greatest(1e0, nc / tc)) AS w
+ wx AS (SELECT scene_id, i, t, greatest(0e0, 1e0 - abs(i + 0.5e0 - (t + 0.5e0) * (nc / tc)) / greatest(1e0, nc / tc)) AS w
    FROM (SELECT scene_id, nc, tc, i, unnest(range(tc)) AS t FROM (SELECT *, unnest(range(nc)) AS i FROM (SELECT *, {tc} AS tc FROM size)))),
- wy AS (SELECT scene_id, i, t, greatest(0e0, 1e0 - abs(i + 0.5e0 - (t + 0.5e0) * nr / tr) / greatest(1e0, nr / tr)) AS w
+ wy AS (SELECT scene_id, i, t, greatest(0e0, 1e0 - abs(i + 0.5e0 - (t + 0.5e0) * (nr / tr)) / greatest(1e0, nr / tr)) AS w
    FROM (SELECT scene_id, nr, tr, i, unnest(range(tr)) AS t FROM (SELECT *, unnest(range(nr)) AS i FROM (SELECT *, {tr} AS tr FROM size)))),
  pass_x AS (SELECT s.scene_id, "row", t AS col, CAST(CAST(sum(w * v) / sum(w) AS FLOAT) AS DOUBLE) AS v FROM src s
    JOIN wx ON wx.scene_id = s.scene_id AND wx.i = s.col WHERE w > 0 GROUP BY ALL),
  resized AS (SELECT p.scene_id, t AS "row", col, CAST(CAST(sum(w * v) / sum(w) AS FLOAT) AS DOUBLE) AS v FROM pass_x p
    JOIN wy ON wy.scene_id = p.scene_id AND wy.i = p."row" WHERE w > 0 GROUP BY p.scene_id, t, col),
  nearest AS (SELECT y.scene_id, y.t AS "row", x.t AS col, valid FROM
-   (SELECT scene_id, t, CAST(floor((t + 0.5e0) * nr / {tr}) AS INTEGER) AS i FROM (SELECT *, unnest(range({tr})) AS t FROM size)) y
-   JOIN (SELECT scene_id, t, CAST(floor((t + 0.5e0) * nc / {tc}) AS INTEGER) AS i FROM (SELECT *, unnest(range({tc})) AS t FROM size)) x USING (scene_id)
+   (SELECT scene_id, t, CAST(floor((t + 0.5e0) * (nr / {tr})) AS INTEGER) AS i FROM (SELECT *, unnest(range({tr})) AS t FROM size)) y
+   JOIN (SELECT scene_id, t, CAST(floor((t + 0.5e0) * (nc / {tc})) AS INTEGER) AS i FROM (SELECT *, unnest(range({tc})) AS t FROM size)) x USING (scene_id)
    JOIN src s ON s.scene_id = y.scene_id AND s."row" = y.i AND s.col = x.i)"""
 
 

@@ -1,3 +1,11 @@
 """Raster height-field analytics on Spark tables."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions run in Python workers travel with the job, so executors need not
+# have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

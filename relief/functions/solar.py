@@ -30,7 +30,7 @@ def _poly(t: Column, terms: tuple[float, ...]) -> Column:
 
 def as_utc(local: Column) -> Column:
     """Instant of a timestamp without zone, read as UTC whatever the session zone."""
-    return F.to_utc_timestamp(local.cast("timestamp"), F.current_timezone())
+    return F.from_utc_timestamp(local.cast("timestamp"), F.current_timezone())
 
 
 def solar_position(when: Column, lat: Column, lon: Column) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relief.functions.core import EPS32, dbl, is_finite
-from relief.operators.focal import TILE, into_tiles, owned
+from relief.operators.focal import TILE, into_tiles
 from relief.operators.grid import attach
 from relief.operators.stats import exact_percentiles
 
@@ -68,29 +68,21 @@ def diffuse(
         top, left = rows.min(), cols.min()
         grid = np.full((rows.max() - top + 1, cols.max() - left + 1), np.nan, dtype=kind)
         grid[rows - top, cols - left] = group["_w"].to_numpy(dtype=kind)
-        out = _steps(grid, float(group["_limit"].iloc[0]), iterations)
+        limit = group["_limit"].iloc[0]
+        if np.isfinite(limit):
+            grid = _steps(grid, float(limit), iterations)
         ty, tx = int(group["_ty"].iloc[0]), int(group["_tx"].iloc[0])
         mine = (rows // side == ty) & (cols // side == tx)
-        return pd.DataFrame(
-            {
-                "scene_id": group["scene_id"].to_numpy()[mine],
-                "row": rows[mine],
-                "col": cols[mine],
-                "_new": out[rows - top, cols - left][mine],
-            }
-        )
+        group["_new"] = grid[rows - top, cols - left]
+        return group.loc[mine, [*kept, "_new"]]
 
-    # scenes without a usable spread are left as they are
-    live = ready.where(F.col("_limit").isNotNull())
-    tiles = into_tiles(live.select("scene_id", "row", "col", "_w", "_limit"), iterations, side)
-    levelled = tiles.groupBy(*TILE).applyInPandas(
-        level, f"scene_id string, row int, col int, _new {storage}"
-    )
-    joined = ready.join(levelled, ["scene_id", "row", "col"], "left")
-    out = F.when(F.col("_ok"), F.coalesce(F.col("_new"), F.col(value).cast(storage))).otherwise(
-        F.col(value).cast(storage)
-    )
-    return joined.withColumn(alias, out).drop("_w", "_limit", "_ok", "_new")
-
-
-__all__ = ["diffuse", "owned"]
+    # the cells' own columns travel with the tile, so nothing is joined afterwards
+    kept = [*cells.columns, "_ok", "_limit"]
+    schema = T.StructType([ready.schema[c] for c in kept] + [T.StructField("_new", ready.schema["_w"].dataType)])
+    levelled = into_tiles(ready.withColumn("_limit", F.coalesce("_limit", F.lit(float("nan")))), iterations, side).groupBy(
+        *TILE
+    ).applyInPandas(level, schema)
+    # invalid cells and scenes without a usable spread are left as they are
+    changed = F.col("_ok") & ~F.isnan("_limit")
+    out = F.when(changed, F.col("_new")).otherwise(F.col(value).cast(storage))
+    return levelled.withColumn(alias, out).drop("_ok", "_limit", "_new")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relief.functions.core import EPS32, clamp, dbl, half_even, is_finite
 from relief.operators.grid import attach, extent
-from relief.operators.stats import exact_percentiles, range_stats
+from relief.operators.stats import exact_percentiles, exact_percentiles_of, range_stats
 from relief.session import materialise
 
 TILE = ("scene_id", "_ty", "_tx")
@@ -322,8 +322,13 @@ def edge_quality(
     moments = grads.groupBy(*keys).agg(
         F.stddev_pop("_dm").alias("_ds"), F.stddev_pop("_gm").alias("_gs"), F.covar_pop("_dm", "_gm").alias("_c")
     )
-    spread = exact_percentiles(grads, "_dm", {"_mid": 0.5, "_top": 0.95}, keys).drop("n", "low", "high", "n_rows", "n_cols")
-    image = exact_percentiles(grads, "_gm", {"_quiet": 0.5}, keys).drop("n", "low", "high")
+    cuts = materialise(
+        exact_percentiles_of(grads, {"d": "_dm", "g": "_gm"}, {"mid": 0.5, "top": 0.95}, keys).withColumnsRenamed(
+            {"d_mid": "_mid", "d_top": "_top", "g_mid": "_quiet"}
+        )
+    )
+    spread = cuts.select(*keys, "_mid", "_top")
+    image = cuts.select(*keys, "_quiet", "n_rows", "n_cols")
     flat = exact_percentiles(
         attach(grads, image, keys).where(F.col("_gm") <= F.col("_quiet")), "_dm", {"_flat": 0.5}, keys
     ).select(*keys, "_flat")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from relief.functions.core import half_even
 from relief.operators.evaluate import benchmark_refit
+from relief.operators.stats import exact_percentiles
 
 
 def timing_report(timings: DataFrame) -> DataFrame:
@@ -15,11 +16,16 @@ def timing_report(timings: DataFrame) -> DataFrame:
     run keeps the status of its runs.
     """
     done = F.col("status") == "completed"
-    return timings.groupBy("model").agg(
-        F.percentile(F.when(done, F.col("seconds")), F.lit(0.5)).alias("_median"),
+    # one model may hold most runs: its median is found by counting, spread by run
+    spread = timings.select("model", F.expr("cast(pmod(run, 65536) as int)").alias("row"), F.lit(0).alias("col"), "seconds", "status")
+    medians = exact_percentiles(spread, "seconds", {"_median": 0.5}, ["model"], done).select("model", "_median")
+    counted = timings.groupBy("model").agg(
         F.count_if(done).alias("timed_runs"),
         F.when(F.bool_or(done), "completed").otherwise(F.max("status")).alias("status"),
-    ).select("model", "status", "timed_runs", half_even("_median", 6).alias("median_seconds"))
+    )
+    return counted.join(medians, "model", "left").select(
+        "model", "status", "timed_runs", half_even("_median", 6).alias("median_seconds")
+    )
 
 
 def rank_models(scores: DataFrame) -> DataFrame:

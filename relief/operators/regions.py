@@ -9,7 +9,7 @@ from relief.functions.pixel import vegetation, water
 from relief.operators import components, focal
 from relief.operators.grid import attach, extent_aggs
 from relief.operators.mesh import fill_invalid
-from relief.operators.stats import exact_percentiles
+from relief.operators.stats import exact_percentiles_of
 from relief.session import materialise
 
 REGION = ("scene_id", "label")
@@ -185,9 +185,8 @@ def confidence() -> Column:
 
 def region_heights(region_cells: DataFrame, roof: str = "roof", ground: str = "ground") -> DataFrame:
     """Median roof and base height per region."""
-    roofs = exact_percentiles(region_cells, roof, {"roof_height": 0.5}, REGION).select(*REGION, "roof_height")
-    bases = exact_percentiles(region_cells, ground, {"base_height": 0.5}, REGION).select(*REGION, "base_height")
-    return roofs.join(bases, list(REGION))
+    both = exact_percentiles_of(region_cells, {"roof": roof, "base": ground}, {"height": 0.5}, REGION)
+    return both.select(*REGION, "roof_height", "base_height")
 
 
 def judge_regions(

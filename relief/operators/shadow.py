@@ -8,7 +8,7 @@ from relief.functions.core import dbl
 from relief.functions.pixel import shadow_height
 from relief.functions.solar import elevation_problem
 from relief.operators.grid import attach, extent
-from relief.operators.stats import exact_percentiles, range_stats
+from relief.operators.stats import exact_percentiles, exact_percentiles_of, range_stats
 from relief.session import materialise
 
 CELL = ("scene_id", "row", "col")
@@ -36,11 +36,10 @@ def shadow_mask(cells: DataFrame, darkness: float = DARK_PERCENTILE) -> DataFram
     toned = scaled.withColumns(
         {"_luma": 0.299 * r + 0.587 * g + 0.114 * b, "_blue": (b + 1e-6) / (r + 1e-6)}
     )
-    dark = exact_percentiles(toned, "_luma", {"_dark": darkness}).select("scene_id", "_dark", "n_rows", "n_cols")
-    blue = exact_percentiles(toned, "_blue", {"_bluish": 0.5}).select("scene_id", "_bluish")
-    judged = attach(toned, dark.join(blue, "scene_id"))
+    cuts = exact_percentiles_of(toned, {"luma": "_luma", "blue": "_blue"}, {"dark": darkness, "mid": 0.5})
+    judged = attach(toned, cuts.select("scene_id", "luma_dark", "blue_mid", "n_rows", "n_cols"))
     return judged.select(
-        *CELL, ((F.col("_luma") <= F.col("_dark")) & (F.col("_blue") >= F.col("_bluish"))).alias("shadow")
+        *CELL, ((F.col("_luma") <= F.col("luma_dark")) & (F.col("_blue") >= F.col("blue_mid"))).alias("shadow")
     )
 
 

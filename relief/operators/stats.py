@@ -137,6 +137,29 @@ def exact_percentiles(
     return found.select(*keys, *out, "n", "low", "high", *EXTENT)
 
 
+def exact_percentiles_of(
+    cells: DataFrame,
+    values: Mapping[str, Column | str],
+    probs: Mapping[str, float],
+    keys: Sequence[str] = SCENE,
+    where: Column | None = None,
+) -> DataFrame:
+    """Percentiles of several values in the same two readings of the source.
+
+    Columns are named <value>_<percentile>, with the extent of the key.
+    """
+    keys = list(keys)
+    pieces = [F.struct(F.lit(n).alias("_name"), dbl(c).alias("_value")) for n, c in values.items()]
+    kept = cells if where is None else cells.where(where)
+    long = kept.select(*keys, "row", "col", F.inline(F.array(*pieces)))
+    found = exact_percentiles(long, "_value", probs, [*keys, "_name"])
+    wide = [
+        F.max(F.when(F.col("_name") == n, F.col(p))).alias(f"{n}_{p}") for n in values for p in probs
+    ]
+    corner = [F.max(c).alias(c) for c in EXTENT[:2]] + [F.min(c).alias(c) for c in EXTENT[2:]]
+    return found.groupBy(*keys).agg(*wide, *corner)
+
+
 def range_stats(cells: DataFrame, value: Column | str, keys: Sequence[str] = SCENE, where=None) -> DataFrame:
     """A10: finite minimum, maximum and count per key, with the extent."""
     ok = is_finite(value) if where is None else is_finite(value) & where

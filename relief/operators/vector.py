@@ -223,17 +223,22 @@ def highest_roof(points: DataFrame, footprints: DataFrame, roof: str, point_id:
     def cell(axis: Column) -> Column:
         return F.floor(axis * UNIT_CELLS).cast("int")
 
-    u, v = F.transform("points", lambda p: p["u"]), F.transform("points", lambda p: p["v"])
-    rings = footprints.select("scene_id", F.col("points").alias("_ring"), F.col(roof).alias("_roof"), u.alias("_us"), v.alias("_vs"))
-    for name, values in (("_cu", "_us"), ("_cv", "_vs")):
+    rings = footprints.select("scene_id", F.col("points").alias("_ring"), F.col(roof).alias("_roof"))
+    for axis in ("u", "v"):
+        values = F.col(f"_ring.{axis}")
+        rings = rings.withColumn(f"_{axis}0", F.array_min(values)).withColumn(f"_{axis}1", F.array_max(values))
+    for axis in ("u", "v"):
         rings = rings.withColumn(
-            name, F.explode(F.sequence(cell(F.array_min(values)), cell(F.array_max(values))))
+            f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}0")), cell(F.col(f"_{axis}1"))))
         )
-    rings = rings.drop("_us", "_vs")
-    placed = points.select(*point_id, "u", "v", cell(F.col("u")).alias("_cu"), cell(F.col("v")).alias("_cv"))
+    # the ring test is the work here, so points are spread by cell before it
+    placed = points.select(
+        *point_id, "u", "v", cell(F.col("u")).alias("_cu"), cell(F.col("v")).alias("_cv")
+    ).repartition("scene_id", "_cu", "_cv")
+    boxed = F.col("u").between(F.col("_u0"), F.col("_u1")) & F.col("v").between(F.col("_v0"), F.col("_v1"))
     return (
         placed.join(rings, ["scene_id", "_cu", "_cv"])
-        .where(contains("_ring", F.col("u"), F.col("v")))
+        .where(boxed & contains("_ring", F.col("u"), F.col("v")))
         .groupBy(*point_id)
         .agg(F.max("_roof").alias("roof"))
     )

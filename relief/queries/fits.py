@@ -72,17 +72,21 @@ def benchmark_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "holdout_eval",
-    f"""WITH {fx.TRUTH}, samples AS (SELECT scene_id, depth AS x, CAST(value AS DOUBLE) AS y FROM truth
-      WHERE valid AND "row" % 4 = 0 AND col % 4 = 0), {FIT}, {SCORED}
+    f"""WITH {fx.DEM}, samples AS (SELECT t.scene_id, t.depth AS x, CAST(d.value AS DOUBLE) AS y FROM truth t
+      JOIN dem d ON d.scene_id = t.scene_id AND d."row" = t."row" // 4 AND d.col = t.col // 4 WHERE d.valid), {FIT}, {SCORED}
     SELECT scene_id, 'holdout_fixed_calibration' AS evaluation_scope, false AS calibration_refit, valid_pixels,
       total_pixels, {q6('valid_pixels / total_pixels')} AS valid_fraction, {q6('pearson')} AS pearson,
       {q6('mae')} AS mae, {q6('rmse')} AS rmse FROM scored""",
 )
 def holdout_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients from a sparse reference, scored on every valid cell."""
+    """Coefficients from the coarse reference grid, scored on every valid cell."""
     cells = fx.truth(spark, sf_dir)
-    reference = cells.where("valid AND row % 4 = 0 AND col % 4 = 0")
-    fits = calibrate.fit_affine(reference, "depth", "value", source="reference_dem")
+    coarse = fx.dem(spark, sf_dir).where("valid").select(
+        "scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("elevation")
+    )
+    blocks = cells.withColumn("_r", F.expr("cast(row div 4 as int)")).withColumn("_c", F.expr("cast(col div 4 as int)"))
+    reference = blocks.join(coarse, ["scene_id", "_r", "_c"])
+    fits = calibrate.fit_affine(reference, "depth", "elevation", source="reference_dem")
     heights = calibrate.apply_affine(cells, fits, extent(cells))
     metrics = evaluate.score(heights)
     return metrics.select(*[half_even(c, 6).alias(c) if c in _METRICS else F.col(c) for c in metrics.columns])

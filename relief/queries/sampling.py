@@ -80,16 +80,17 @@ def gcp_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gcp_checks",
-    f"""WITH {fx.GCPS_RAW}, p AS (SELECT scene_id || '-' || CAST(floor(y) AS INTEGER) AS scene_id, x, y FROM gcps_raw WHERE x > 45e0),
+    f"""WITH {fx.GCPS_RAW}, p AS (SELECT scene_id || '-' || CAST(floor(y) AS INTEGER) || '-' || CAST(floor(x) AS INTEGER) AS scene_id, x, y FROM gcps_raw),
      c AS (SELECT scene_id, count(*) AS points, count(DISTINCT (x, y)) AS distinct_points FROM p GROUP BY scene_id)
     SELECT *, CASE WHEN points < 3 THEN 'At least three GCP points are required for calibration'
       WHEN distinct_points < 3 THEN 'At least three distinct GCP pixel locations are required'
       WHEN distinct_points <> points THEN 'Duplicate GCP pixel locations are not allowed' END AS reason FROM c""",
 )
 def gcp_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fx.gcps_raw(spark, sf_dir).where("x > 45.0")
-    split = raw.withColumn("scene_id", F.concat_ws("-", "scene_id", F.floor("y").cast("int")))
-    return gcp_source.check_points(split)
+    """Points split by whole pixel, so that sets of every kind occur."""
+    raw = fx.gcps_raw(spark, sf_dir)
+    pixel = [F.floor(c).cast("int") for c in ("y", "x")]
+    return gcp_source.check_points(raw.withColumn("scene_id", F.concat_ws("-", "scene_id", *pixel)))
 
 
 # one record per line item: rotating field names, blanks, junk and infinities

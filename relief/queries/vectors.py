@@ -178,18 +178,23 @@ def osm_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "osm_fallback",
-    """WITH o AS (SELECT 's' || c_nationkey AS scene_id, c_custkey AS k FROM customer WHERE c_acctbal > 3000 + 200 * c_nationkey),
-     s AS (SELECT 's' || s_nationkey AS scene_id, s_suppkey AS k FROM supplier), many AS (SELECT scene_id FROM o GROUP BY 1 HAVING count(*) >= 10)
+    """WITH o AS (SELECT 's' || c_nationkey || '-' || CAST(floor(abs(c_acctbal)) % 8 AS INTEGER) AS scene_id, c_custkey AS k FROM customer),
+     s AS (SELECT 's' || s_nationkey || '-' || (s_suppkey % 8) AS scene_id, s_suppkey AS k FROM supplier), many AS (SELECT scene_id FROM o GROUP BY 1 HAVING count(*) >= 10)
     SELECT scene_id, 'osm' AS source, count(*) AS footprints FROM o WHERE scene_id IN (FROM many) GROUP BY ALL
     UNION ALL SELECT scene_id, 'segmentation', count(*) FROM s WHERE scene_id NOT IN (FROM many) GROUP BY ALL""",
 )
 def osm_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes by nation: customers as mapped footprints, suppliers as segmented ones."""
-    mapped = fx.table(spark, sf_dir, "customer").where("c_acctbal > 3000 + 200 * c_nationkey").select(
-        F.concat(F.lit("s"), F.col("c_nationkey")).alias("scene_id"), F.lit("osm").alias("source"), F.col("c_custkey").alias("osm_id")
+    """Eight scenes per nation: customers as mapped footprints, suppliers as segmented ones."""
+    share = (F.floor(F.abs("c_acctbal")) % 8).cast("int")
+    mapped = fx.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("s"), F.concat_ws("-", "c_nationkey", share)).alias("scene_id"),
+        F.lit("osm").alias("source"),
+        F.col("c_custkey").alias("osm_id"),
     )
     segmented = fx.table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("s"), F.col("s_nationkey")).alias("scene_id"), F.lit("segmentation").alias("source"), F.col("s_suppkey").alias("label")
+        F.concat(F.lit("s"), F.concat_ws("-", "s_nationkey", F.col("s_suppkey") % 8)).alias("scene_id"),
+        F.lit("segmentation").alias("source"),
+        F.col("s_suppkey").alias("label"),
     )
     chosen = vector.choose_footprints(mapped, segmented)
     return chosen.groupBy("scene_id", "source").agg(F.count(F.lit(1)).alias("footprints"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from relief.functions.core import is_finite
+from relief.session import materialise
 
 # Accepted field names in order of preference, accepted spaces.
 ALIASES = {
@@ -113,14 +114,21 @@ def read_gcp_csv(spark: SparkSession, path: str) -> DataFrame:
         F.split("value", _COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
     )
     filled = lines.withColumn("_cells", cells).where(F.exists("_cells", lambda c: c != ""))
-    order = F.struct("_start", "_id")
-    headers = filled.groupBy("_file").agg(F.min_by("_cells", order).alias("_header"), F.min(order).alias("_first"))
-    body = filled.join(headers, "_file").where(order != F.col("_first"))
-    idx = F.row_number().over(Window.partitionBy("_file").orderBy("_start", "_id"))
+    # numbered inside input splits and shifted by the splits before: a file is
+    # never sorted as a whole
+    counts = filled.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_id"))
+    numbered = filled.withColumn("_rn", inside).join(offsets, ["_file", "_start"]).withColumn(
+        "idx", (F.col("_offset") + F.col("_rn") - 1).cast("int")
+    )
+    headers = materialise(numbered.where("idx = 0").select("_file", F.col("_cells").alias("_header")))
+    body = numbered.where("idx > 0").join(headers, "_file")
     fields = F.map_from_entries(F.arrays_zip(F.col("_header").alias("key"), F.col("_cells").alias("value")))
     records = body.select(
         scene_of_path("_file").alias("scene_id"),
-        idx.alias("idx"),
+        "idx",
         F.map_filter(fields, lambda k, v: v.isNotNull() & k.isNotNull()).alias("fields"),
     )
     return points_from_records(records)

@@ -30,18 +30,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return session
 
 
+# temporary folders of local sessions, by application
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor reaches: spark.checkpoint.dir of the session.
+    """This application's part of the folder named by spark.checkpoint.dir.
 
-    A local run without the setting gets its own temporary folder.
+    Every executor must reach it. A local run without the setting gets its own
+    temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    application = context.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _LOCAL.get(application)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="relief-shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+        shared = _LOCAL.setdefault(application, tempfile.mkdtemp(prefix="relief-shared-"))
+    return f"{shared.rstrip('/')}/relief-{application}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -52,6 +58,12 @@ def materialise(df: DataFrame) -> DataFrame:
     it only when that size is under spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/relief-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application wrote; its results must have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

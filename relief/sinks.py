@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relief.functions.core import is_finite, valid_cell
+from relief.functions.pixel import preview_unit
+from relief.functions.ramps import preview_colour
+from relief.operators.grid import attach
+from relief.operators.stats import exact_percentiles
 
 NODATA = -9999.0
 # Tag written with a calibrated grid, by calibration source.
@@ -22,6 +26,25 @@ def depth_export(cells: DataFrame, valid: str | None = "valid") -> DataFrame:
     return cells.select("scene_id", "row", "col", value.alias("depth"))
 
 
+def preview_table(cells: DataFrame, value: str, valid: str | None = "valid") -> DataFrame:
+    """K4: colours of a grid between its p0.5 and p99.5; invalid cells are dark."""
+    ok = is_finite(value) if valid is None else valid_cell(value, valid)
+    stats = exact_percentiles(cells, value, {"_p_low": 0.005, "_p_high": 0.995}, where=ok).drop("n")
+    bounds = [F.col(c) for c in ("_p_low", "_p_high", "low", "high")]
+    unit = attach(cells, stats, how="left").withColumn("_ok", ok).withColumn("_unit", preview_unit(value, F.col("_ok"), *bounds))
+    colours = preview_colour(F.col("_unit").cast("float"), F.col("_ok"))
+    return unit.select("scene_id", "row", "col", *[c.alias(n) for n, c in colours.items()])
+
+
+def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
+    """Store every table of an analysis under its name, and the runs as JSON too."""
+    for name, table in tables.items():
+        write_scene_table(table, f"{path}/{name}", overwrite)
+    if "runs" in tables:
+        documents = strict_json(tables["runs"]).select("json")
+        documents.write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/runs_json")
+
+
 def calibrated_export(
     cells: DataFrame, scenes: DataFrame, calibrations: DataFrame, height: str = "height", valid: str = "valid"
 ) -> tuple[DataFrame, DataFrame]:

@@ -161,6 +161,18 @@ def test_json_has_no_nan_and_tables_are_not_overwritten(spark, tmp_path):
     sinks.write_scene_table(df, str(tmp_path / "t"), overwrite=True)
 
 
+def test_previews_and_run_folders(spark, grid, tmp_path):
+    valid = np.ones((20, 20), dtype=bool)
+    valid[3, 3] = False
+    out = sinks.preview_table(grid(v=np.arange(400.0).reshape(20, 20), valid=valid), "v")
+    got = {(r["row"], r["col"]): (r["red"], r["green"], r["blue"]) for r in out.collect()}
+    assert got[3, 3] == (15, 20, 31) and got[0, 0] == (24, 35, 82) and got[19, 19] == (249, 134, 38)
+    runs = spark.createDataFrame([("a", float("nan"))], "scene_id string, mae double")
+    sinks.write_run({"runs": runs, "preview": out}, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run" / "preview")).count() == 400
+    assert spark.read.text(str(tmp_path / "run" / "runs_json")).first()[0] == '{"scene_id":"a"}'
+
+
 def test_files_are_listed_hashed_and_described(spark, tmp_path):
     (tmp_path / "b.TIF").write_bytes(b"II*\0abc")
     (tmp_path / "a.txt").write_text("hello")

@@ -60,9 +60,9 @@ def osm_footprints(rings: DataFrame, scenes: DataFrame, pairs: DataFrame | None
         u, v = map_to_unit(x, y, h["transform"], h["width"], h["height"])
         return F.struct(u.alias("u"), v.alias("v"))
 
-    unit = located.withColumn("_points", F.transform("coords", place)).withColumn(
-        "points", tidy_ring("_points", OSM_GAP)
-    )
+    # stored, so that the tests on a ring do not project its points again
+    projected = materialise(located.select(*FOOTPRINT, "tags", F.transform("coords", place).alias("_points")))
+    unit = projected.withColumn("points", tidy_ring("_points", OSM_GAP))
     tags = F.col("tags")
     return unit.where(F.col("points").isNotNull() & F.col("points")[0]["u"].isNotNull()).select(
         *FOOTPRINT,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relief.llm import decontaminate
+from relief.llm import decontaminate, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of a document that is a copy or an edited copy of a test item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text; rows whose id's crc32 divides by five are never learnt from."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.is_held_out("doc_id"))
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")

@@ -120,7 +120,7 @@ def fit(
     words: np.ndarray,
     counts: np.ndarray,
     min_docs: int = 3,
-    ridge: float = 2.0,
+    ridge: float = 0.3,
     swap_penalty: float = 1.0,
     steps: int = 150,
 ) -> Model:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relief.llm import decontaminate, toxicity
+from relief.llm import decontaminate, mixing, sql, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.is_held_out("doc_id"))
     scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_source_mixing", sql.OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document gives to a mix of all sources at weights 5, 2, 1."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relief.llm import decontaminate, mixing, sql, toxicity
+from relief.llm import decontaminate, mixing, sql, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each document gives to a mix of all sources at weights 5, 2, 1."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_url_filter", sql.OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block every URL by rule, else by the ratio of two character models."""
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

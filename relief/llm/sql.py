@@ -44,3 +44,73 @@ SELECT doc_id, size, source_size, target,
                             ELSE 0 END)::BIGINT AS taken
 FROM placed
 """
+
+OP4 = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+),
+rules(kind, name, start) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+),
+keyed AS (SELECT row_number() OVER () AS k, * FROM parts),
+fitting AS (
+  SELECT k, max_by(kind, length(name) + length(start)) AS kind, max_by(name || start, length(name) + length(start)) AS rule
+  FROM keyed JOIN rules ON (host = name OR suffix(host, '.' || name)) AND starts_with(path, start)
+  GROUP BY k
+),
+ruled AS (SELECT keyed.*, kind, rule, substr(md5(url), 1, 1) < '3' AS held_out FROM keyed LEFT JOIN fitting USING (k)),
+urls AS (SELECT url, kind, held_out, count(*) AS n FROM ruled GROUP BY ALL),
+grams AS (
+  SELECT url, kind, held_out, n, substr('^^^' || url, i, 4) AS g
+  FROM urls, LATERAL (SELECT unnest(generate_series(1, length(url))) AS i) WHERE length(url) > 0
+),
+g4 AS (
+  SELECT g, sum(CASE WHEN kind = 'allow' AND NOT held_out THEN n ELSE 0 END) AS a,
+         sum(CASE WHEN kind = 'block' AND NOT held_out THEN n ELSE 0 END) AS b
+  FROM grams GROUP BY g
+),
+g3 AS (SELECT substr(g, 2, 3) AS g, sum(a) AS a, sum(b) AS b FROM g4 GROUP BY 1),
+g2 AS (SELECT substr(g, 2, 2) AS g, sum(a) AS a, sum(b) AS b FROM g3 GROUP BY 1),
+g1 AS (SELECT substr(g, 2, 1) AS g, sum(a) AS a, sum(b) AS b FROM g2 GROUP BY 1),
+c4 AS (SELECT substr(g, 1, 3) AS c, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, count_if(a > 0) AS ka, count_if(b > 0) AS kb FROM g4 GROUP BY 1),
+c3 AS (SELECT substr(g, 1, 2) AS c, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, count_if(a > 0) AS ka, count_if(b > 0) AS kb FROM g3 GROUP BY 1),
+c2 AS (SELECT substr(g, 1, 1) AS c, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, count_if(a > 0) AS ka, count_if(b > 0) AS kb FROM g2 GROUP BY 1),
+c1 AS (SELECT sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, count_if(a > 0) AS ka, count_if(b > 0) AS kb FROM g1),
+m1 AS (
+  SELECT g, CASE WHEN c.a + ka > 0 THEN (g1.a + ka * (1.0::DOUBLE / 256)) / (c.a + ka) ELSE 1.0::DOUBLE / 256 END AS pa,
+         CASE WHEN c.b + kb > 0 THEN (g1.b + kb * (1.0::DOUBLE / 256)) / (c.b + kb) ELSE 1.0::DOUBLE / 256 END AS pb
+  FROM g1, c1 c
+),
+m2 AS (
+  SELECT x.g, CASE WHEN c.a + ka > 0 THEN (x.a + ka * pa) / (c.a + ka) ELSE pa END AS pa,
+         CASE WHEN c.b + kb > 0 THEN (x.b + kb * pb) / (c.b + kb) ELSE pb END AS pb
+  FROM g2 x JOIN c2 c ON c.c = substr(x.g, 1, 1) JOIN m1 m ON m.g = substr(x.g, 2, 1)
+),
+m3 AS (
+  SELECT x.g, CASE WHEN c.a + ka > 0 THEN (x.a + ka * pa) / (c.a + ka) ELSE pa END AS pa,
+         CASE WHEN c.b + kb > 0 THEN (x.b + kb * pb) / (c.b + kb) ELSE pb END AS pb
+  FROM g3 x JOIN c3 c ON c.c = substr(x.g, 1, 2) JOIN m2 m ON m.g = substr(x.g, 2, 2)
+),
+m4 AS (
+  SELECT x.g, CASE WHEN c.a + ka > 0 THEN (x.a + ka * pa) / (c.a + ka) ELSE pa END AS pa,
+         CASE WHEN c.b + kb > 0 THEN (x.b + kb * pb) / (c.b + kb) ELSE pb END AS pb
+  FROM g4 x JOIN c4 c ON c.c = substr(x.g, 1, 3) JOIN m3 m ON m.g = substr(x.g, 2, 3)
+),
+scores AS (SELECT url, avg(ln(pa) - ln(pb)) AS score FROM grams JOIN m4 USING (g) GROUP BY url),
+bins AS (
+  SELECT round(score / 0.01)::BIGINT AS bin, count_if(kind = 'allow') AS a, count_if(kind = 'block') AS b
+  FROM urls JOIN scores USING (url) WHERE held_out AND kind IS NOT NULL GROUP BY 1
+),
+gaps AS (
+  SELECT bin, sum(a) OVER (ORDER BY bin DESC) / sum(a) OVER () - sum(b) OVER (ORDER BY bin DESC) / sum(b) OVER () AS gap FROM bins
+),
+best AS (SELECT (bin - 0.5::DOUBLE) * 0.01::DOUBLE AS t FROM gaps WHERE gap IS NOT NULL ORDER BY gap DESC, abs(bin), bin DESC LIMIT 1)
+SELECT page_id, host, path, rule,
+       coalesce(kind, CASE WHEN coalesce(score, 0) >= coalesce((SELECT t FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled LEFT JOIN scores USING (url)
+"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import decontaminate, mixing, sql, toxicity, urls
+from relief.llm import decontaminate, licenses, mixing, sql, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow or block every URL by rule, else by the ratio of two character models."""
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_license_scan", sql.op7())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every whole text."""
+    places = F.transform("spots", lambda s: s["word"])
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("spots").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )

@@ -1,5 +1,7 @@
 """DuckDB SQL that states the results of registered queries."""
 
+from relief.llm.licenses import BASE, COMMON, RARE, TEMPLATES
+
 OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -114,3 +116,62 @@ SELECT page_id, host, path, rule,
        coalesce(kind, CASE WHEN coalesce(score, 0) >= coalesce((SELECT t FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM ruled LEFT JOIN scores USING (url)
 """
+
+
+def op7() -> str:
+    """Templates and phrases are written out as values; the rest is plain SQL."""
+
+    def rows(values) -> str:
+        return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in values)
+
+    notices = [(k, i, w) for k, (_, n, _) in enumerate(TEMPLATES) for i, w in enumerate(n.split()) if w not in COMMON]
+    phrases = [(f"{kind}{k}", kind, label, phrase, len(phrase.split()))
+               for kind, table in (("b", [(a, b) for a, b in BASE]), ("t", [(a, c) for a, _, c in TEMPLATES]))
+               for k, (label, phrase) in enumerate(table)]
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, w FROM docs),
+notices(template, place, word) AS (VALUES {rows(notices)}),
+phrases(id, kind, label, phrase, n) AS (VALUES {rows(phrases)}),
+labels(template, label) AS (VALUES {rows([(k, t[0]) for k, t in enumerate(TEMPLATES)])}),
+found AS (
+  SELECT k, id, kind, label, pos FROM words JOIN phrases ON word = split_part(phrase, ' ', 1)
+  WHERE array_to_string(w[pos + 1:pos + n], ' ') = phrase
+),
+seen AS (SELECT word, count(DISTINCT k) AS files FROM words SEMI JOIN notices USING (word) GROUP BY word),
+weighed AS (
+  SELECT n.*, ln(1 + (SELECT count(*) FROM docs)::DOUBLE / (1 + coalesce(files, 0))) AS weight
+  FROM notices n LEFT JOIN seen USING (word)
+),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY template ORDER BY weight DESC, word) AS r FROM weighed),
+postings AS (
+  SELECT template, place, word, weight / sum(weight) OVER (PARTITION BY template) AS share FROM ranked WHERE r <= {RARE}
+),
+lined AS (
+  SELECT k, template, sum(share) AS share FROM words JOIN postings USING (word) GROUP BY k, template, pos - place
+),
+best AS (
+  SELECT k, template, round(least(max(share), 1.0), 6) AS share FROM lined GROUP BY k, template
+  HAVING round(least(max(share), 1.0), 6) >= 0.5
+),
+kept AS (SELECT b.k, label, share FROM best b JOIN labels USING (template) SEMI JOIN found f ON f.k = b.k AND f.id = 't' || b.template),
+base AS (
+  SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM found WHERE kind = 'b' GROUP BY k
+),
+every AS (
+  SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT k, label FROM kept UNION ALL SELECT k, label FROM found WHERE kind = 'b') GROUP BY k
+),
+score AS (SELECT k, max(share) AS score FROM kept GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM docs LEFT JOIN base USING (k) LEFT JOIN every USING (k) LEFT JOIN score USING (k)
+"""

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 # bytes of text handled at once; single longer texts form their own piece
 PIECE_BYTES = 4 << 20
@@ -174,3 +175,35 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def long_values(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """A long column without nulls as numpy."""
     return column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+# documents whose ids repeat or are missing are told apart by their text
+KEY = ["_id", "_th"]
+NO_ID = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add the key (_id, _th) by which documents are ordered and joined.
+
+    `_id` is the document's id, a missing one last. `_th` is 0 where every id is
+    present and unique, which a count over the ids alone settles; otherwise it is
+    a hash of the text, so rows sharing an id are ordered by it, and rows that
+    share both are one document read more than once.
+    """
+    ids = docs.groupBy(F.col(doc_id).alias("_id")).count()
+    odd = ids.where("count > 1 or _id is null").limit(1).count()
+    return docs.withColumns(
+        {
+            "_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
+            "_th": F.xxhash64(F.col(text)) if odd else F.lit(0).cast("long"),
+        }
+    )
+
+
+def spread(*parts: np.ndarray) -> np.ndarray:
+    """A key that scatters rows evenly."""
+    out = np.zeros(len(parts[0]), dtype=_U)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            out = mix(out * _U(0x9E3779B97F4A7C15) + part.astype(np.int64).view(_U))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import decontaminate, licenses, mixing, sql, toxicity, urls
+from relief.llm import decontaminate, licenses, mixing, sql, substrings, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "labels",
         "score",
     )
+
+
+@query("op10_substring_dedup", sql.OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that no earlier 20-word window covers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, keep_text=False)

@@ -175,3 +175,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        coalesce(score, 0)::DOUBLE AS score
 FROM docs LEFT JOIN base USING (k) LEFT JOIN every USING (k) LEFT JOIN score USING (k)
 """
+
+OP10 = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+windows AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER s AS seq, count(*) OVER s AS n
+  FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+again AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(seq) ORDER BY doc_id, pos) > 1 AS hit FROM windows WHERE n = 20
+),
+flagged AS (SELECT w.doc_id, w.word, w.pos, coalesce(a.hit, false) AS hit FROM words w LEFT JOIN again a USING (doc_id, pos)),
+gone AS (
+  SELECT doc_id, word, pos,
+         bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed
+  FROM flagged
+),
+sums AS (
+  SELECT doc_id, count_if(removed) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed), '') AS kept
+  FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN sums s USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import decontaminate, licenses, mixing, sql, substrings, toxicity, urls
+from relief.llm import decontaminate, licenses, mixing, sql, substrings, suffixes, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text that no earlier 20-word window covers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, keep_text=False)
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand at two places at least."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))

@@ -60,6 +60,7 @@ class Piece:
     start: np.ndarray  # byte range of each word
     end: np.ndarray
     word: np.ndarray  # fingerprint of each word
+    edge: np.ndarray  # byte offsets of the rows in the buffer
 
     @property
     def counts(self) -> np.ndarray:
@@ -133,7 +134,7 @@ def split_words(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False
                 word = mix(np.add.reduceat(terms, offset) + length.astype(_U))
         else:
             word = np.empty(0, dtype=_U)
-        yield Piece(np.arange(low, high), buffer, np.searchsorted(start, edge), start, end, word)
+        yield Piece(np.arange(low, high), buffer, np.searchsorted(start, edge), start, end, word, edge)
 
 
 def sequences(word: np.ndarray, size: int, seed: int = 1) -> np.ndarray:

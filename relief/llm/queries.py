@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import decontaminate, licenses, mixing, sql, substrings, suffixes, toxicity, urls
+from relief.llm import decontaminate, licenses, lines, mixing, sql, substrings, suffixes, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that stand at two places at least."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts without multi-line chunks that stand earlier; the kept text as its SHA-256."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = lines.remove_lines(docs)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

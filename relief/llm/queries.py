@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import decontaminate, licenses, lines, mixing, sql, substrings, suffixes, toxicity, urls
+from relief.llm import bagminhash, decontaminate, licenses, lines, mixing, sql, substrings, suffixes, toxicity, urls
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = lines.remove_lines(docs)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_bagminhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-duplicates of every document, at 0.8 over five-word shingles."""
+    return bagminhash.groups_of(table(spark, sf_dir, "documents"))

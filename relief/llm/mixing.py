@@ -211,10 +211,11 @@ def mix(
     for (k, s), words in sent.items():
         gone[k] += words
         got[s] += words
-    plan = spark.createDataFrame(
+    # written, so that Spark knows how small it is and need not shuffle the documents to meet it
+    plan = materialise(spark.createDataFrame(
         [(r["_pattern"], gone[k] // max(1, r["s"]), gone[k] % max(1, r["s"])) for k, r in enumerate(table)],
         "_pattern string, _full long, _rest long",
-    )
+    ))
     cuts = _cuts(narrow, plan)
     chosen = plan.join(cuts, "_pattern", "left")
     once_more = (
@@ -254,5 +255,5 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     docs = docs.drop("source_size", "target")
     mixed, plan = mix(docs, F.array(F.col("source").cast("string")), **options)
     rows = [(s["source"], s["size"], s["target"]) for s in plan.sources]
-    sources = docs.sparkSession.createDataFrame(rows, SOURCES)
+    sources = materialise(docs.sparkSession.createDataFrame(rows, SOURCES))
     return mixed.join(sources, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left").drop("_source")

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relief.llm import bagminhash, decontaminate, licenses, lines, mixing, sql, substrings, suffixes, toxicity, urls
+from relief.llm import (
+    bagminhash,
+    decontaminate,
+    licenses,
+    lines,
+    mixing,
+    neighbours,
+    sql,
+    substrings,
+    suffixes,
+    toxicity,
+    urls,
+)
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -92,3 +104,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near-duplicates of every document, at 0.8 over five-word shingles."""
     return bagminhash.groups_of(table(spark, sf_dir, "documents"))
+
+
+@query("op2_nearest_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

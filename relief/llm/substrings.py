@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import KEY, SPACED, Piece, column, keyed, sequences, split_words, whole
+from relief.llm.common import KEY, NO_ID, SPACED, Piece, aside, column, keyed, restored, sequences, split_words, whole
 from relief.llm.repeats import repeated_sequences, shared_anchors
 
 WINDOW = 20
@@ -50,20 +50,22 @@ def near_marks(piece: Piece, marked: np.ndarray) -> np.ndarray:
     return total[end] > total[:-1]
 
 
-def covered(first: np.ndarray, counts: np.ndarray, places: np.ndarray, words: int, size: int) -> np.ndarray:
-    """Which of the words lie in a window that starts at one of the places of their row."""
-    start = places + np.repeat(first[:-1], counts)
-    edge = np.zeros(words + 1, dtype=np.int64)
+def covered(piece: Piece, runs: pa.Array, size: int) -> np.ndarray:
+    """Which words lie in a window that starts in one of their row's runs."""
+    own = runs.slice(int(piece.rows[0]), len(piece.rows))
+    counts = np.asarray(own.value_lengths().fill_null(0)).astype(np.int64)
+    flat = own.flatten()
+    start = np.asarray(flat.field("place")).astype(np.int64) + np.repeat(piece.first[:-1], counts)
+    edge = np.zeros(len(piece.word) + 1, dtype=np.int64)
     np.add.at(edge, start, 1)
-    np.add.at(edge, start + size, -1)
+    np.add.at(edge, start + np.asarray(flat.field("many")) - 1 + size, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
-    """(_id, _th, starts): starts of the windows of each keyed document that occur earlier."""
+    """(_id, _th, runs): runs of windows of each keyed document that occur earlier."""
     hits = shared_anchors(docs, cover_anchors)
-    again = repeated_sequences(docs, hits, WINDOW, near_marks).where("other_id is not null")
-    return again.groupBy(*KEY).agg(F.collect_list("place").alias("starts"))
+    return repeated_sequences(docs, hits, WINDOW, near_marks, others=False)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -72,24 +74,29 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True)
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one
     space); `text` becomes the kept words where something is removed.
     """
-    columns = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
-    base = keyed(docs.drop(*ADDED).withColumn("_text", F.col(text).cast("string")), text="_text")
+    docs, names = aside(docs.drop(*ADDED).withColumnRenamed(text, "text"), "doc_id", "text")
+    if not keep_text:
+        del names["text"]
+    columns = list(names)
+    # the id is taken back from the key, so that the join below reads what the first one shuffled
+    others = [c for c in columns if c not in ("text", "doc_id")]
+    base = keyed(docs.withColumn("_text", F.col("text").cast("string")), text="_text")
     plain = base.select(*KEY, F.col("_text").alias("text"))
-    joined = base.join(removed_words(plain), KEY, "left").select(
-        *[c for c in columns if c != text], F.col("_text"), "starts"
-    )
-    others = [c for c in columns if c != text]
+    doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
+    joined = (base.select(*KEY, F.col("_text").alias("text"), *others) if others else plain).join(
+        removed_words(plain), KEY, "left"
+    ).select(doc_id, *others, F.col("text").alias("_text"), "runs")
+    others = ["doc_id", *others]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = column(batch, "_text"), column(batch, "starts")
+            texts, runs = column(batch, "_text"), column(batch, "runs")
             n_words = np.zeros(len(texts), dtype=np.int64)
             n_removed = np.zeros(len(texts), dtype=np.int64)
             digest, kept_text = [""] * len(texts), texts.to_pylist() if keep_text else []
             for piece in split_words(texts, SPACED):
-                own = starts.slice(int(piece.rows[0]), len(piece.rows))
-                count = np.asarray(own.value_lengths().fill_null(0)).astype(np.int64)
-                gone = covered(piece.first, count, np.asarray(own.flatten()).astype(np.int64), len(piece.word), WINDOW)
+                gone = covered(piece, runs, WINDOW)
+                lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[piece.first])
                 # kept words and one space after each, by copying byte ranges at once
                 keep = ~gone
                 length = (piece.end - piece.start + 1)[keep]
@@ -103,18 +110,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True)
                     low, high = offset[kept_first[k]], offset[kept_first[k + 1]]
                     kept = out[low : max(low, high - 1)]
                     digest[row] = hashlib.sha256(kept).hexdigest()
-                    if keep_text and count[k]:
+                    if keep_text and lost[k]:
                         kept_text[row] = kept.decode()
                 n_words[piece.rows] = piece.counts
-                n_removed[piece.rows] = np.diff(np.concatenate(([0], np.cumsum(gone)))[piece.first])
+                n_removed[piece.rows] = lost
             extra = [pa.array(kept_text, pa.string())] if keep_text else []
             yield pa.RecordBatch.from_arrays(
                 [*(column(batch, c) for c in others), *extra, pa.array(n_words), pa.array(n_removed), pa.array(digest, pa.string())],
-                [*others, *([text] if keep_text else []), *ADDED],
+                [*others, *(["text"] if keep_text else []), *ADDED],
             )
 
     schema = joined.select(*others).schema
     if keep_text:
-        schema = schema.add(text, "string")
+        schema = schema.add("text", "string")
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return joined.mapInArrow(cut, schema).select(*columns, *ADDED)
+    cleaned = restored(joined.mapInArrow(cut, schema).select(*columns, *ADDED), names, *ADDED)
+    return cleaned.withColumnRenamed("text", text)

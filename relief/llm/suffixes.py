@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import KEY, NO_ID, Piece, keyed, long_values, sequences, whole
+from relief.llm.common import KEY, NO_ID, Piece, column, keyed, long_values, sequences, whole
 from relief.llm.repeats import repeated_sequences, shared_anchors
 
 PASSAGE = 50
@@ -82,21 +82,26 @@ def _spans(passage: int):
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("rows"))
+            rows = column(batch, "runs")
             counts = np.asarray(rows.value_lengths()).astype(np.int64)
             flat = rows.flatten()
-            place, other_id, other, has = (
-                flat.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)
+            has = flat.field("other_place").is_valid().to_numpy(zero_copy_only=False)
+            place, many, other_id, other = (
+                flat.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for k in ("place", "many", "other_id", "other_place")
             )
             doc = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((place, doc))
             doc, place = doc[order], place[order]
+            # how far the runs of a document reach so far, each document beyond the one before
+            far = doc * (1 << 32) + place + many[order] - 1 + passage
+            far = np.maximum.accumulate(far)
             new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + passage)
+            new[1:] = doc[1:] * (1 << 32) + place[1:] > far[:-1]
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc)) - 1
             # a span points to the earlier copy of its first passage that has one
-            has, other_id, other = has[order].astype(bool), other_id[order], other[order]
+            has, other_id, other = has[order], other_id[order], other[order]
             follow = np.append(np.where(has, np.arange(len(has)), len(has)), len(has))
             follow = np.minimum.accumulate(follow[::-1])[::-1][first]
             found = follow <= last
@@ -106,7 +111,7 @@ def _spans(passage: int):
                 [
                     pa.array(ids, mask=ids == NO_ID),
                     pa.array(place[first].astype(np.int32)),
-                    pa.array((place[last] + passage).astype(np.int32)),
+                    pa.array((far[last] - doc[last] * (1 << 32)).astype(np.int32)),
                     pa.array(other_id[follow], mask=~found | (other_id[follow] == NO_ID)),
                     pa.array((other[follow] - (place[follow] - place[first])).astype(np.int32), mask=~found),
                 ],
@@ -126,9 +131,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """
     base = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(*KEY, "text")
     hits = shared_anchors(base, suffix_fingerprints(passage))
-    found = repeated_sequences(base, hits, passage, extended(passage))
-    return (
-        found.groupBy(*KEY)
-        .agg(F.collect_list(F.struct("place", "other_id", "other_place", F.col("other_place").isNotNull().cast("int").alias("has"))).alias("rows"))
-        .mapInArrow(_spans(passage), "doc_id long, start_word int, end_word int, earlier_id long, earlier_word int")
+    found = repeated_sequences(base, hits, passage, extended(passage), others=True)
+    return found.mapInArrow(
+        _spans(passage), "doc_id long, start_word int, end_word int, earlier_id long, earlier_word int"
     )

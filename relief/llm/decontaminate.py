@@ -2,8 +2,8 @@
 
 A test item is described by its word n-grams (words are runs of ASCII letters,
 digits and non-ASCII bytes, A-Z lower-cased). How many corpus documents hold
-each n-gram is counted over all documents, and the rarer half of an item's
-n-grams become its seeds. A document whose words hold seeds of an item near one
+each n-gram is counted over all documents, and the rarer half of those of an
+item's n-grams that occur at all become its seeds. A document whose words hold seeds of an item near one
 diagonal is aligned with the whole item around that diagonal; the local
 alignment score, as a share of the score of a perfect copy, tells copies that
 were edited or cut from chance.
@@ -103,10 +103,11 @@ def gram_counts(docs: DataFrame, grams: np.ndarray, size: int) -> DataFrame:
 
 
 def _rarer_half(gram, item, place, counts: dict) -> np.ndarray:
-    """Rows of the rarer half of each item's n-grams; ties are spread over the item."""
+    """Rows of the rarer half of each item's n-grams that occur; ties are spread over the item."""
     seen = np.array([counts.get(int(g), 0) for g in signed(gram)], dtype=np.int64)
     order = np.lexsort((mix(place), seen, item))
-    size = np.bincount(item)
+    order = order[seen[order] > 0]
+    size = np.bincount(item[order], minlength=item.max() + 1)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
     return np.sort(order[rank < (size[item[order]] + 1) // 2])
 

@@ -25,7 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import KEY, LINES, NO_ID, Piece, column, keyed, long_values, mix, signed, split_words
+from relief.llm.common import (
+    KEY,
+    LINES,
+    NO_ID,
+    Piece,
+    aside,
+    column,
+    keyed,
+    long_values,
+    mix,
+    restored,
+    signed,
+    split_words,
+)
+from relief.session import materialise
 
 ENDS = 3  # a boundary falls after one line in this many
 LEAST, MOST = 2, 64
@@ -127,21 +141,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = _chunks(docs)
     place = F.struct(*KEY, "line")
     kinds = chunks.groupBy("_k").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first <> _last")
+    # written, as Spark splits a join over a common chunk only between two shuffles
+    kinds = materialise(kinds)
     members = chunks.join(kinds.select("_k", "_first"), "_k").withColumn("first", place == F.col("_first"))
     marks = members.groupBy(*KEY).agg(
         F.collect_list(F.struct(F.col("_k").alias("k"), "line", "first")).alias("marks")
     )
     texts = _bytes(docs.join(marks, KEY))
-    leaders = texts.where("first").select("_k", F.col("bytes").alias("_bytes")).dropDuplicates(["_k"])
+    leaders = texts.where("first").select("_k", *KEY, "line", F.col("bytes").alias("_bytes"))
+    leaders = leaders.dropDuplicates(["_k", *KEY, "line"]).select("_k", "_bytes")
     same = texts.where("not first").join(leaders, "_k").where(F.col("bytes") == F.col("_bytes"))
     return same.groupBy(*KEY).agg(F.collect_list("line").alias("lines"))
 
 
 def remove_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Remove repeated chunks from `text`; adds n_lines and n_removed (lines)."""
-    columns = [c for c in docs.columns if c not in ADDED]
-    others = [c for c in columns if c not in (text, "doc_id")]
-    base = keyed(docs.drop(*ADDED).withColumn("_text", F.col(text).cast("string")), text="_text")
+    docs, names = aside(docs.drop(*ADDED).withColumnRenamed(text, "text"), "doc_id", "text")
+    columns = docs.columns
+    others = [c for c in columns if c not in ("text", "doc_id")]
+    base = keyed(docs.withColumn("_text", F.col("text").cast("string")), text="_text")
     # both joins read one shuffle of the documents; the id is taken back from the key
     whole = base.select(*KEY, F.col("_text").alias("text"), *others)
     doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
@@ -174,8 +192,9 @@ def remove_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                     kept[r] = (left if stay[-1] else left.removesuffix(b"\n")).decode()
             yield pa.RecordBatch.from_arrays(
                 [*(column(batch, c) for c in others), pa.array(kept, pa.string()), pa.array(n_lines), pa.array(n_removed)],
-                [*others, text, *ADDED],
+                [*others, "text", *ADDED],
             )
 
-    schema = joined.select(*others).schema.add(text, "string").add("n_lines", "long").add("n_removed", "long")
-    return joined.mapInArrow(cut, schema).select(*columns, *ADDED)
+    schema = joined.select(*others).schema.add("text", "string").add("n_lines", "long").add("n_removed", "long")
+    cleaned = restored(joined.mapInArrow(cut, schema).select(*columns, *ADDED), names, *ADDED)
+    return cleaned.withColumnRenamed("text", text)

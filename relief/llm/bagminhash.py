@@ -35,7 +35,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import KEY, NO_ID, SPACED, Piece, column, keyed, lists, long_values, mix, numbers, sequences, signed, split_words
+from relief.llm.common import (
+    KEY,
+    NO_ID,
+    SPACED,
+    Piece,
+    aside,
+    column,
+    keyed,
+    lists,
+    long_values,
+    mix,
+    numbers,
+    restored,
+    sequences,
+    signed,
+    split_words,
+)
 from relief.operators.components import contract
 from relief.session import materialise
 
@@ -191,7 +207,8 @@ def _centers(buckets: DataFrame, turn: int, similarity: float) -> DataFrame:
         F.min("root").alias("r"),
         F.max("root").alias("s"),
     )
-    ends = ends.where("r <> s").select("bucket", F.explode(F.array("p", "q")).alias("c"))
+    # written, as Spark splits a join over a common bucket only between two shuffles
+    ends = materialise(ends.where("r <> s").select("bucket", F.explode(F.array("p", "q")).alias("c")))
     pairs = buckets.join(ends, "bucket").where("root <> c.root")
     pairs = pairs.where(F.least("size", "c.size") >= similarity * F.greatest("size", "c.size"))
     return pairs.select(F.least("v", "c.v").alias("x"), F.greatest("v", "c.v").alias("y")).distinct()
@@ -213,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
     buckets = classes.select("v", "size", F.posexplode("bands")).select(
         F.xxhash64("pos", "col").alias("bucket"), "v", "size", F.col("v").alias("root")
     )
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = materialise(buckets.groupBy("bucket").count().where("count > 1").select("bucket"))
     buckets = materialise(buckets.join(shared, "bucket"))
     members = classes.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "m.*")
     sets = materialise(_multisets(docs.dropDuplicates(KEY).join(members, KEY) if _repeats(docs) else docs.join(members, KEY)))
@@ -270,6 +287,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The least document of every group; documents without words all stay."""
+    docs, names = aside(docs, "doc_id", "text")
     base = keyed(docs)
     plain = base.select(*KEY, F.col("text").cast("string").alias("text"))
     found = near_duplicates(plain)
@@ -279,4 +297,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         # rows that share id and text are one document; those without words are not compared
         again = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
         kept = kept.where(again).dropDuplicates(KEY).unionByName(kept.where(~again))
-    return kept.drop(*KEY)
+    return restored(kept, names)

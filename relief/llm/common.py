@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # bytes of text handled at once; single longer texts form their own piece
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -208,3 +208,14 @@ def spread(*parts: np.ndarray) -> np.ndarray:
         for part in parts:
             out = mix(out * _U(0x9E3779B97F4A7C15) + part.astype(np.int64).view(_U))
     return out
+
+
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename all columns but the needed ones out of the way, and how to name them again."""
+    names = [c if c in needed else f"_x{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), dict(zip(names, docs.columns, strict=True))
+
+
+def restored(docs: DataFrame, names: dict[str, str], *added: str) -> DataFrame:
+    """The renamed columns under their own names, then those that were added."""
+    return docs.select(*(F.col(n).alias(c) for n, c in names.items() if c not in added), *added)

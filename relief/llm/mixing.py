@@ -135,13 +135,12 @@ def flow(patterns: list[tuple[tuple, int]], quota: dict, repeats: int = REPEATS)
 
 
 def _ordered(docs: DataFrame, members: Column, size: Column, seed: int, doc_id: str) -> DataFrame:
-    """Add the pattern, the size and the place in the seeded order of each document."""
-    return docs.withColumns(
-        {
-            "_members": F.array_sort(F.array_distinct(members)),
-            "_size": F.coalesce(size.cast("long"), F.lit(0)),
-            "_order": F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))),
-        }
+    """Each document as `_row` with its pattern, size and place in the seeded order."""
+    return docs.select(
+        F.struct("*").alias("_row"),
+        F.array_sort(F.array_distinct(members)).alias("_members"),
+        F.coalesce(size.cast("long"), F.lit(0)).alias("_size"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("_order"),
     ).withColumn("_pattern", F.to_json("_members", {"ignoreNullFields": "false"}))
 
 
@@ -228,7 +227,7 @@ def mix(
         _ordered(docs, members, size, seed, doc_id)
         .join(chosen, "_pattern", "left")
         .select(
-            *docs.columns,
+            "_row.*",
             F.col("_size").alias("size"),
             full.alias("full"),
             (full * F.col("_size") + once_more).cast("long").alias("taken"),
@@ -256,4 +255,5 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     mixed, plan = mix(docs, F.array(F.col("source").cast("string")), **options)
     rows = [(s["source"], s["size"], s["target"]) for s in plan.sources]
     sources = materialise(docs.sparkSession.createDataFrame(rows, SOURCES))
-    return mixed.join(sources, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left").drop("_source")
+    same = mixed["source"].cast("string").eqNullSafe(sources["_source"])
+    return mixed.join(sources, same, "left").drop(sources["_source"])

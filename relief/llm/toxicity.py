@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import ALNUM, column, lists, long_values, signed, split_words
+from relief.llm.common import ALNUM, aside, column, lists, long_values, restored, signed, split_words
 
 # fixed values: sets of words that name groups of people; members are swapped in turn
 IDENTITY_SETS = (
@@ -213,7 +213,6 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    marked = docs.withColumnRenamed("score", "_score").withColumnRenamed("predicted", "_predicted")
-    kept = classify(marked, labels, **options).where("predicted = 0").drop("score", "predicted")
-    return kept.withColumnRenamed("_score", "score").withColumnRenamed("_predicted", "predicted")
+    """Documents that the classifier does not reject; all their columns are kept."""
+    docs, names = aside(docs, "doc_id", "text")
+    return restored(classify(docs, labels, **options).where("predicted = 0"), names)

@@ -5,8 +5,9 @@ norm, which turns largest inner product into least distance, and a tree of
 k-means centres is built over a bounded sample (`sample` vectors, those with the
 smallest hash of their id). Every row is then assigned to a leaf. A query walks
 the tree with a priority queue: the nearest open node is taken, a leaf is
-visited, the children of an inner node join the queue. How many leaves a query
-visits is calibrated: for some queries the true neighbours are found by going
+visited, the children of an inner node join the queue. Leaves are visited in
+rounds of growing length, and the scores found so far bound what later rounds
+send on. How many leaves a query visits is calibrated: for some queries the true neighbours are found by going
 through all rows, and visits are widened until the leaves met first hold
 `recall` of them.
 
@@ -140,13 +141,17 @@ def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     return np.asarray(column(batch, name).flatten()).astype(np.float64).reshape(-1, dim)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple:
-    """The k nearest rows of each query within one block: query position, row position, score."""
+def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least=-np.inf) -> tuple:
+    """The k nearest rows of each query within one block: query position, row position, score.
+
+    Rows below `least`, the score that a query has k rows for already, are left out.
+    """
     rough = q @ x.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     most = min(k, len(ids))
     # equal vectors may differ in the last bits here, so near-ties are scored anew
     edge = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+    edge = np.maximum(edge, least)
     edge = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -1e300)
     who, row = np.nonzero(rough >= edge[:, None])
     score = np.einsum("nd,nd->n", q[who], x[row])
@@ -236,14 +241,45 @@ def search(
                     ["query_id", "q", "leaves"],
                 )
 
-    asked = rows.where("is_query").select("vec_id", "x").mapInArrow(
-        walk, "query_id long, q array<double>, leaves array<long>"
+    asked = materialise(
+        rows.where("is_query")
+        .select("vec_id", "x")
+        .mapInArrow(walk, "query_id long, q array<double>, leaves array<long>")
     )
-    asked = materialise(asked)
-    # how many blocks a leaf's rows and its visitors are cut into; one entry for each leaf
     block = int(np.clip(rows_in // 256, 128, 4096))
+
+    def meet(base: pa.Table, queries: pa.Table) -> pa.Table:
+        if not base.num_rows or not queries.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, q_ids = np.asarray(base.column("vec_id")), np.asarray(queries.column("query_id"))
+        x = np.asarray(base.column("x").combine_chunks().flatten()).reshape(-1, dim)
+        q = np.asarray(queries.column("q").combine_chunks().flatten()).reshape(-1, dim)
+        who, row, score = _best(ids, x, q_ids, q, k, np.asarray(queries.column("least")))
+        own = q_ids[who] != ids[row]
+        return pa.table({"query_id": q_ids[who][own], "vec_id": ids[row][own], "score": score[own]})
+
+    best = None
+    low, high = 0, 1
+    while low < visits:
+        # leaves are visited in rounds; what has been found so far bounds what later ones send on
+        turn = asked.select("query_id", "q", F.slice("leaves", low + 1, min(high, visits) - low).alias("leaves"))
+        if best is None:
+            turn = turn.withColumn("least", F.lit(-np.inf))
+        else:
+            kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+            turn = turn.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-np.inf)))
+        found = _meetings(rows, turn, block).applyInArrow(meet, FOUND)
+        best = materialise(_top(found if best is None else found.unionByName(best.drop("rank")), k))
+        low, high = high, 4 * high
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _meetings(rows: DataFrame, asked: DataFrame, block: int):
+    """Rows and queries of each leaf, grouped together in blocks of about `block` of either."""
+    # how many blocks a leaf's rows and its visitors are cut into; one entry for each leaf
     held = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    visitors = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("turns"))
+    visitors = asked.select(F.explode("leaves").alias("leaf"))
+    visitors = visitors.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("turns"))
     cut = materialise(held.join(visitors, "leaf"))
     left = rows.join(cut, "leaf").select(
         "leaf",
@@ -253,7 +289,7 @@ def search(
         "x",
     )
     right = (
-        asked.select("query_id", "q", F.explode("leaves").alias("leaf"))
+        asked.select("query_id", "q", "least", F.explode("leaves").alias("leaf"))
         .join(cut, "leaf")
         .select(
             "leaf",
@@ -261,19 +297,8 @@ def search(
             F.pmod(F.xxhash64("query_id", F.lit(2)), "turns").alias("turn"),
             "query_id",
             "q",
+            "least",
         )
     )
-
-    def meet(base: pa.Table, queries: pa.Table) -> pa.Table:
-        if not base.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, q_ids = np.asarray(base.column("vec_id")), np.asarray(queries.column("query_id"))
-        x = np.asarray(base.column("x").combine_chunks().flatten()).reshape(-1, dim)
-        q = np.asarray(queries.column("q").combine_chunks().flatten()).reshape(-1, dim)
-        who, row, score = _best(ids, x, q_ids, q, k)
-        own = q_ids[who] != ids[row]
-        return pa.table({"query_id": q_ids[who][own], "vec_id": ids[row][own], "score": score[own]})
-
     keys = ["leaf", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))

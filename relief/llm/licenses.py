@@ -117,7 +117,7 @@ def _postings(rows: DataFrame) -> DataFrame:
     rank = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc("weight"), "word"))
     indexed = weighed.withColumn("_rank", rank).where(F.col("_rank") <= RARE)
     total = F.sum("weight").over(Window.partitionBy("template"))
-    return indexed.select("template", "place", "word", (F.col("weight") / total).alias("share"))
+    return indexed.select("template", "place", "word", F.coalesce(F.try_divide("weight", total), F.lit(0.0)).alias("share"))
 
 
 SPOTS = T.StructType(

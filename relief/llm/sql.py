@@ -109,9 +109,11 @@ bins AS (
   FROM urls JOIN scores USING (url) WHERE held_out AND kind IS NOT NULL GROUP BY 1
 ),
 gaps AS (
-  SELECT bin, sum(a) OVER (ORDER BY bin DESC) / sum(a) OVER () - sum(b) OVER (ORDER BY bin DESC) / sum(b) OVER () AS gap FROM bins
+  SELECT bin, (bin + coalesce(lead(bin) OVER (ORDER BY bin DESC), bin - 1)) / 2 AS middle,
+         sum(a) OVER (ORDER BY bin DESC) / sum(a) OVER () - sum(b) OVER (ORDER BY bin DESC) / sum(b) OVER () AS gap
+  FROM bins
 ),
-best AS (SELECT (bin - 0.5::DOUBLE) * 0.01::DOUBLE AS t FROM gaps WHERE gap IS NOT NULL ORDER BY gap DESC, abs(bin), bin DESC LIMIT 1)
+best AS (SELECT middle * 0.01::DOUBLE AS t FROM gaps WHERE gap IS NOT NULL ORDER BY gap DESC, abs(bin), bin DESC LIMIT 1)
 SELECT page_id, host, path, rule,
        coalesce(kind, CASE WHEN coalesce(score, 0) >= coalesce((SELECT t FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM ruled LEFT JOIN scores USING (url)

@@ -125,12 +125,20 @@ def calibrate(scored: DataFrame) -> float:
     bins = scored.groupBy(F.round(F.col("score") / BIN).cast("long").alias("bin")).agg(
         F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")
     )
-    above = Window.orderBy(F.desc("bin"))
-    gap = F.sum("good").over(above) / F.sum("good").over(Window.partitionBy()) - F.sum("bad").over(above) / F.sum(
-        "bad"
-    ).over(Window.partitionBy())
-    best = bins.select("bin", gap.alias("gap")).agg(F.max(F.struct("gap", -F.abs("bin"), "bin")).alias("b")).first()["b"]
-    return 0.0 if best is None or best["gap"] is None else (best["bin"] - 0.5) * BIN
+    above, every = Window.orderBy(F.desc("bin")), Window.partitionBy()
+
+    def share(kind: str) -> Column:
+        return F.try_divide(F.sum(kind).over(above), F.sum(kind).over(every))
+
+    gap = share("good") - share("bad")
+    # half way to the next lower score that was seen
+    middle = (F.col("bin") + F.coalesce(F.lead("bin").over(above), F.col("bin") - 1)) / 2
+    best = (
+        bins.select("bin", middle.alias("middle"), gap.alias("gap"))
+        .agg(F.max(F.struct("gap", -F.abs("bin"), "bin", "middle")).alias("b"))
+        .first()["b"]
+    )
+    return 0.0 if best is None or best["gap"] is None else best["middle"] * BIN
 
 
 def judge(pages: DataFrame, url: str = "url", keep: tuple = ("page_id",), rules: tuple = RULES) -> DataFrame:

@@ -75,10 +75,13 @@ def water(r: Column | str, g: Column | str, b: Column | str) -> Column:
     return (b - r > 14.0) & (b >= (g * F.lit(0.92)).cast("float").cast("double")) & (g < 165.0)
 
 
-def decoded_size_problem(width: Column, height: Column, limit: int = 50_000_000) -> Column:
-    """Why a raster of this size is refused, or NULL."""
+def decoded_size_problem(width: Column, height: Column, limit: int | None = None) -> Column:
+    """Why a raster of this size is refused, or NULL; any size passes without a limit."""
     pixels = width.cast("long") * height.cast("long")
-    return F.when((width < 1) | (height < 1), F.lit("contains no raster pixels")).when(
+    empty = F.when((width < 1) | (height < 1), F.lit("contains no raster pixels"))
+    if limit is None:
+        return empty
+    return empty.when(
         pixels > limit, F.format_string("has %,d decoded pixels; the configured limit is %,d", pixels, F.lit(limit).cast("long"))
     )
 

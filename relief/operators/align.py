@@ -229,7 +229,7 @@ def align_elevation(
     )
     same = routed.where(F.col("mode").isin("same_grid", "assumed")).drop("mode")
     parts = [same]
-    present = {r["mode"] for r in pairs.select("mode").distinct().limit(4).collect()}
+    present = {r["mode"] for r in pairs.select("mode").distinct().collect()}
     if "georeferenced" in present:
         geo = pairs.where("mode = 'georeferenced'").select("scene_id", "src", "dst")
         parts.append(reproject_elevation(routed.where("mode = 'georeferenced'").drop("mode"), geo))

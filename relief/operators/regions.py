@@ -29,7 +29,6 @@ LARGE_WATER = 0.50
 HUGE_SHARE = 0.40
 HUGE_FILL = 0.22
 RELIEF_SHARE = 0.012
-MAX_BUILDINGS = 500
 # variances whose product falls below this share of the trace are one line
 _LINE = 1e-13
 
@@ -194,16 +193,17 @@ def judge_regions(
     scene: DataFrame,
     colours: bool = False,
     min_area: int = MIN_AREA,
-    limit: int = MAX_BUILDINGS,
+    limit: int | None = None,
     min_fill: float = MIN_FILL,
     min_span: float = MIN_SPAN,
 ) -> DataFrame:
     """Every region with its measures, `reason` and `rank`.
 
     `region_cells` has roof and ground per cell; `scene` has scene_id, low and
-    high of the roof surface, n_rows and n_cols. `rank` numbers the accepted
-    regions by area, larger label first among equals, and is NULL beyond the
-    report's limit.
+    high of the roof surface, n_rows and n_cols. `accepted` says which regions
+    pass. With a `limit`, `rank` numbers a scene's largest passing regions, larger
+    label first among equals, and those beyond the limit are not accepted; without
+    one `rank` is NULL and no scene's regions are sorted.
     """
     boxes = oriented_boxes(region_cells, colours)
     measured = boxes.join(region_heights(region_cells), list(REGION), "left")
@@ -222,6 +222,9 @@ def judge_regions(
         F.when(F.col("roof_height") - F.col("base_height") < relief, "relief"),
     )
     judged = sized.withColumn("reason", reason).withColumn("confidence", confidence()).drop("_spread", "_cells")
+    passed = F.col("reason").isNull()
+    if limit is None:
+        return judged.withColumns({"accepted": passed, "rank": F.lit(None).cast("int")})
     order = Window.partitionBy("scene_id").orderBy(F.col("area").desc(), F.col("label").desc())
     accepted = (
         judged.where("reason IS NULL")
@@ -230,7 +233,8 @@ def judge_regions(
         .where(F.col("rank") <= limit)
         .drop("area")
     )
-    return judged.join(accepted, list(REGION), "left")
+    ranked = judged.join(accepted, list(REGION), "left")
+    return ranked.withColumn("accepted", F.col("rank").isNotNull())
 
 
 def box_corners(n_cols: Column, n_rows: Column) -> Column:
@@ -271,7 +275,7 @@ def footprints(judged: DataFrame, outlines: DataFrame, sizes: DataFrame) -> Data
     Outlines are pixel-edge polygons and move by half a cell onto cell centres;
     a region without one uses the corners of its rectangle.
     """
-    accepted = judged.where("rank IS NOT NULL").drop("n_rows", "n_cols", "row_0", "col_0")
+    accepted = judged.where("accepted").drop("n_rows", "n_cols", "row_0", "col_0")
     sized = accepted.join(sizes.select("scene_id", "n_rows", "n_cols"), "scene_id").join(
         outlines.select(*REGION, F.col("points").alias("_outline")), list(REGION), "left"
     )

@@ -28,8 +28,10 @@ FOOTPRINT = ("scene_id", "osm_id")
 def way_rings(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Coordinates of each way in order, missing nodes dropped.
 
-    A way needs four references before and after dropping.
+    A way needs four references before and after dropping. An element that comes
+    more than once counts once.
     """
+    ways, nodes = ways.dropDuplicates(["id"]), nodes.dropDuplicates(["id"])
     placed = (
         ways.where(F.size("nodes") >= 4)
         .select(F.col("id").alias("osm_id"), F.posexplode("nodes").alias("pos", "node_id"))

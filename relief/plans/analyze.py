@@ -16,7 +16,6 @@ from relief.operators.grid import attach, extent
 from relief.operators.stats import exact_percentiles, range_stats
 from relief.session import materialise
 from relief.sources import gcps as gcp_source
-from relief.sources.rasters import MAX_PIXELS
 
 CELL = ["scene_id", "row", "col"]
 
@@ -45,6 +44,8 @@ LEAKAGE_NOTICE = (
     "same-scene metrics contain calibration leakage and are benchmark-only."
 )
 
+ACQUISITION_TIME = "acquisition_time must be ISO 8601, for example 2021-04-15T15:30:00Z"
+
 MODES = {
     "reference_dem": "reference_dem_calibrated_dsm",
     "gcps": "gcp_calibrated_dsm",
@@ -90,18 +91,19 @@ class Settings:
     min_area: int = regions.MIN_AREA
     max_side: int = 1024
     mesh_edge: int = mesh.MESH_LONG_EDGE
-    max_pixels: int = MAX_PIXELS
+    max_pixels: int | None = None
     gcp_sampling: str = "bilinear"
     quality_mode: str = "fast"
 
 
 def _with_defaults(scenes: DataFrame, settings: Settings) -> DataFrame:
-    fixed = {"acquisition_time": None, "gcp_sampling": settings.gcp_sampling, "quality_mode": settings.quality_mode}
+    # a request names its job; a scene analysed without one is its own job
+    fixed = {"job_id": None, "acquisition_time": None, "gcp_sampling": settings.gcp_sampling, "quality_mode": settings.quality_mode}
     out = scenes
     for name, value in fixed.items():
         given = F.col(name) if name in scenes.columns else F.lit(None).cast("string")
         out = out.withColumn(name, F.coalesce(given, F.lit(value).cast("string")))
-    return out
+    return out.withColumn("job_id", F.coalesce("job_id", F.sha2("scene_id", 256).substr(1, 32)))
 
 
 def validate(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +113,6 @@ def validate(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
         text.settings_problem("gcp_sampling", "quality_mode"),
         decoded_size_problem(F.col("width"), F.col("height"), settings.max_pixels),
     )
-    given = F.col("acquisition_time")
-    reason = F.coalesce(
-        reason,
-        F.when(given.isNotNull() & text.iso_time(given).isNull(), F.lit("acquisition_time must be ISO 8601, for example 2021-04-15T15:30:00Z")),
-    )
     if inputs.dem is not None and inputs.gcps is not None:
         both = inputs.dem[1].select("scene_id").intersect(inputs.gcps.select("scene_id")).withColumn("_both", F.lit(True))
         scenes = scenes.join(both, "scene_id", "left")
@@ -143,11 +140,14 @@ def _shadow_calibrations(cells: DataFrame, scenes: DataFrame) -> tuple[DataFrame
     size = pixel_size(F.col("transform"))
     when = F.coalesce(text.iso_time("acquisition_time"), text.acquisition_time("tags"))
     located = scenes.select(
-        "scene_id", "crs", size.alias("pixel_size"), lon.alias("_lon"), lat.alias("_lat"), when.alias("_when")
+        "scene_id", "crs", size.alias("pixel_size"), lon.alias("_lon"), lat.alias("_lat"), when.alias("_when"),
+        # only shadows need the time, so only they are refused where it cannot be read
+        (F.col("acquisition_time").isNotNull() & text.iso_time("acquisition_time").isNull()).alias("_unread"),
     ).withColumn("_sun", solar_position(F.col("_when"), F.col("_lat"), F.col("_lon")))
     refused = (
         F.when(pixel_size_problem(F.col("pixel_size"), F.col("crs")).isNotNull(), pixel_size_problem(F.col("pixel_size"), F.col("crs")))
         .when(F.col("_lon").isNull() | F.col("_lat").isNull(), "Could not resolve scene coordinates from the CRS and transform")
+        .when(F.col("_unread"), ACQUISITION_TIME)
         .when(
             F.col("_when").isNull(),
             "No acquisition timestamp in the raster tags. Supply one to enable shadow-based metric calibration",
@@ -306,11 +306,12 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         remaining = remaining.join(inputs.gcps.select("scene_id").distinct(), "scene_id", "left_anti")
     remaining = materialise(remaining)
     located = remaining.where("crs IS NOT NULL AND transform IS NOT NULL")
-    shadow_reasons = None
+    shadow_reasons = shadow_shares = None
     if not located.isEmpty():
-        shadow_fits, _ = _shadow_calibrations(_only(cells, located), located)
+        shadow_fits, report = _shadow_calibrations(_only(cells, located), located)
         shadow_fits = materialise(_uniform(shadow_fits))
         fits.append(shadow_fits.where("status = 'ok'"))
+        shadow_shares = report.select("scene_id", "shadow_fraction")
         shadow_reasons = shadow_fits.where("status <> 'ok'").select("scene_id", F.col("reason").alias("shadow_reason"))
         remaining = remaining.join(shadow_fits.where("status = 'ok'").select("scene_id"), "scene_id", "left_anti")
     if truth is not None:
@@ -351,12 +352,15 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         )
         metrics = materialise(metrics.drop("benchmark_only"))
 
+    points = None
+    if inputs.gcps is not None:
+        points = inputs.gcps.groupBy("scene_id").agg(F.count(F.lit(1)).alias("point_count"))
     made = records.where("problem IS NULL").drop("problem")
     runs = scenes.drop("quality_mode").join(made, "scene_id")
     runs = runs.join(failed.select("scene_id"), "scene_id", "left_anti").join(calibrations.where("status = 'ok'"), "scene_id", "left")
     for name in ("truth_notice", "dem_notice"):
         runs = runs.join(notes[name], "scene_id", "left") if name in notes else runs.withColumn(name, F.lit(None).cast("string"))
-    for table, column, kind in ((shadow_reasons, "shadow_reason", "string"), (offsets, "datum_offset", "double")):
+    for table, column, kind in ((shadow_reasons, "shadow_reason", "string"), (offsets, "datum_offset", "double"), (shadow_shares, "shadow_fraction", "double"), (points, "point_count", "bigint")):
         runs = runs.join(table, "scene_id", "left") if table is not None else runs.withColumn(column, F.lit(None).cast(kind))
     if metrics is not None:
         runs = runs.join(metrics.select("scene_id", F.struct(*[c for c in metrics.columns if c != "scene_id"]).alias("metrics")), "scene_id", "left")
@@ -373,14 +377,17 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         F.col("source").isin("reference_dem", "gcps", "scene_shadows"),
         F.struct(
             F.col("source").alias("type"),
+            F.when(F.col("source") == "gcps", F.col("point_count")).otherwise(F.col("reference_samples")).alias("point_count"),
             F.col("reference_samples").alias("calibration_points"),
             F.coalesce(held, F.lit(0)).alias("holdout_points"),
-            F.least(F.lit(1.0), F.col("reference_samples") / F.col("_cells")).alias("coverage"),
+            F.when(F.col("source") == "scene_shadows", F.col("shadow_fraction"))
+            .otherwise(F.least(F.lit(1.0), F.col("reference_samples") / F.col("_cells")))
+            .alias("coverage"),
         ),
     )
     runs = runs.select(
         "scene_id",
-        F.sha2("scene_id", 256).substr(1, 32).alias("job_id"),
+        "job_id",
         mode.alias("mode"),
         text.output_basis(mode, F.col("source").isNotNull(), F.col("has_truth")).alias("output_basis"),
         "model",
@@ -427,7 +434,7 @@ def display_scenes(measured: dict[str, DataFrame], inputs: Inputs, settings: Set
 
     inside = labels.join(levelled.withColumnRenamed("display", "roof"), CELL)
     judged = materialise(regions.judge_regions(inside, whole, True, settings.min_area))
-    accepted = judged.where("rank IS NOT NULL")
+    accepted = judged.where("accepted")
     rings = outlines.region_outlines(labels.join(materialise(accepted.select("scene_id", "label")), ["scene_id", "label"], "left_semi"))
     segmented = regions.footprints(judged, rings, extent(levelled))
     if inputs.nodes is not None and inputs.ways is not None:

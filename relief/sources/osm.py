@@ -19,10 +19,13 @@ DOCUMENT = T.StructType([T.StructField("elements", T.ArrayType(_ELEMENT))])
 
 
 def split_elements(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and ways of documents with an `elements` array; relations are unused."""
+    """Nodes and ways of documents with an `elements` array; relations are unused.
+
+    Documents of neighbouring scenes share elements, so each id is kept once.
+    """
     elements = documents.select(F.inline("elements"))
-    nodes = elements.where("type = 'node'").select("id", "lon", "lat")
-    ways = elements.where("type = 'way' AND nodes IS NOT NULL").select("id", "nodes", "tags")
+    nodes = elements.where("type = 'node'").select("id", "lon", "lat").dropDuplicates(["id"])
+    ways = elements.where("type = 'way' AND nodes IS NOT NULL").select("id", "nodes", "tags").dropDuplicates(["id"])
     return nodes, ways
 
 

@@ -15,7 +15,6 @@ from relief.operators.stats import exact_percentiles
 from relief.functions.pixel import stretch_band
 from relief.sources.gcps import scene_of_path
 
-MAX_PIXELS = 50_000_000
 _BATCH = 1 << 16
 
 
@@ -82,8 +81,8 @@ def _decode_npy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 problem = f"Could not decode NumPy elevation raster: {error}"
             if problem is None and grid.ndim != 2:
                 problem = "A NumPy elevation raster must be a two-dimensional array"
-            if problem is None and not 1 <= grid.size <= MAX_PIXELS:
-                problem = f"NumPy elevation raster has {grid.size:,} pixels; the limit is {MAX_PIXELS:,}"
+            if problem is None and not grid.size:
+                problem = "A NumPy elevation raster must hold at least one pixel"
             if problem is not None:
                 yield pd.DataFrame({"scene_id": [scene], "row": [-1], "col": [-1], "value": [np.float32(np.nan)], "problem": [problem]})
                 continue

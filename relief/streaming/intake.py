@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from relief.functions.pixel import decoded_size_problem
 from relief.functions.text import settings_problem
-from relief.sources.rasters import MAX_PIXELS
+from relief.session import materialise
 
 MANIFEST = """job_id string, scene_id string, ts timestamp, width int, height int, gcp_sampling string,
  quality_mode string, has_dem boolean, has_gcps boolean"""
@@ -17,7 +18,7 @@ MANIFEST = """job_id string, scene_id string, ts timestamp, width int, height in
 Analysis = Callable[[DataFrame], DataFrame]
 
 
-def checked_manifests(manifests: DataFrame, max_pixels: int = MAX_PIXELS) -> DataFrame:
+def checked_manifests(manifests: DataFrame, max_pixels: int | None = None) -> DataFrame:
     """Manifests with the reason each is refused, NULL when accepted."""
     reason = F.coalesce(
         F.when(
@@ -30,9 +31,30 @@ def checked_manifests(manifests: DataFrame, max_pixels: int = MAX_PIXELS) -> Dat
     return manifests.withColumn("reason", reason)
 
 
-def once_per_job(manifests: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First manifest of each job; repeats within the watermark are dropped."""
-    return manifests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id"])
+def once_per_job(manifests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Give a reason to manifests whose job is already served, here or in `stored`.
+
+    Of a job's acceptable manifests in one batch the earliest is served. None is
+    dropped, however late it comes: each row leaves with its analysis or a reason.
+    """
+    first = Window.partitionBy("job_id", F.col("reason").isNull()).orderBy("ts", "scene_id")
+    repeated = F.col("reason").isNull() & (F.row_number().over(first) > 1)
+    marked = manifests.withColumn("_repeated", repeated)
+    if stored is not None:
+        done = stored.select("job_id", F.lit(True).alias("_done")).distinct()
+        marked = marked.join(done, "job_id", "left")
+        marked = marked.withColumn("_repeated", F.col("_repeated") | F.coalesce("_done", F.lit(False))).drop("_done")
+    reason = F.coalesce("reason", F.when(F.col("_repeated"), F.lit("this job has been analysed already")))
+    return marked.withColumn("reason", reason).drop("_repeated")
+
+
+def _served(spark: SparkSession, runs_path: str, batch_id: int) -> DataFrame | None:
+    """Jobs that other batches have served, or None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(runs_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    runs = spark.read.schema("job_id string, reason string, batch_id long").parquet(runs_path)
+    return runs.where((F.col("batch_id") != batch_id) & F.col("reason").isNull())
 
 
 def start_intake(
@@ -41,26 +63,27 @@ def start_intake(
     runs_path: str,
     checkpoint: str,
     analysis: Analysis,
-    delay: str = "1 hour",
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Analyse every waiting manifest, then stop; run again for later files.
 
-    Each micro-batch replaces its own batch_id folder, so a batch that is
-    retried after a failure leaves its runs exactly once.
+    Each micro-batch replaces its own batch_id folder and looks for served jobs
+    in the others, so a batch that is retried after a failure leaves its runs
+    exactly once.
     """
     reader = spark.readStream.schema(MANIFEST)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = once_per_job(checked_manifests(reader.parquet(source)), delay)
+    stream = checked_manifests(reader.parquet(source))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        accepted = analysis(batch.where("reason IS NULL").drop("reason")).withColumn(
+        judged = materialise(once_per_job(batch, _served(spark, runs_path, batch_id)))
+        accepted = analysis(judged.where("reason IS NULL").drop("reason")).withColumn(
             "reason", F.lit(None).cast("string")
         )
-        refused = batch.where("reason IS NOT NULL").select("job_id", "scene_id", "reason")
+        refused = judged.where("reason IS NOT NULL").select("job_id", "scene_id", "reason")
         runs = accepted.unionByName(refused, allowMissingColumns=True)
         runs.write.mode("overwrite").parquet(f"{runs_path}/batch_id={batch_id}")
 

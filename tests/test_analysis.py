@@ -46,11 +46,11 @@ def batch(spark, grid):
     plain = "scene_id string, width int, height int, crs string, transform array<double>"
     header = lambda ids: spark.createDataFrame([(n, W, H, None, None) for n in ids], plain)
     every = np.ones((H, W), dtype=bool)
-    truth = _union([grid(n, value=(50 + 7 * depth_like + 2.5 * depth_like**2).astype(np.float32), valid=every) for n in ("dem", "truth", "georef")])
-    dems = _union([grid(n, value=(50 + 7 * depth_like).astype(np.float32), valid=every) for n in ("dem", "both")])
-    spots = [(1, 0), (W - 1, 0), (0, H - 1), (W - 1, H - 1), (5, 3)]
+    truth = _union([grid(n, value=(40 + 6 * depth_like + 1.5 * depth_like**2).astype(np.float32), valid=every) for n in ("dem", "truth", "georef")])
+    dems = _union([grid(n, value=(40 + 6 * depth_like).astype(np.float32), valid=every) for n in ("dem", "both")])
+    spots = [(2, 1), (W - 3, 4), (7, H - 2), (W - 6, H - 5), (11, 9), (4, 12)]
     points = [
-        (n, i + 1, float(x), float(y), float(100 + 5 * depth_like[y, x]))
+        (n, i + 1, float(x), float(y), float(80 + 3 * depth_like[y, x]))
         for n in ("gcp", "near", "both") for i, (x, y) in enumerate(spots)
     ] + [("few", 1, 1.0, 1.0, 2.0)] + [("lost", i, float(x), float(y), 1.0 * i) for i, (x, y) in enumerate([(1, 0), (3, 3), (W + 5, 2)], 1)]
     gcps = spark.createDataFrame(points, "scene_id string, idx int, x double, y double, elevation double")
@@ -72,13 +72,13 @@ def test_calibration_precedence_and_modes(batch):
         "none": "relative_depth",
     }
     dem = runs["dem"]
-    assert dem["calibration"]["scale"] == pytest.approx(7, rel=1e-4) and dem["calibration"]["shift"] == pytest.approx(50, rel=1e-4)
+    assert dem["calibration"]["scale"] == pytest.approx(6, rel=1e-4) and dem["calibration"]["shift"] == pytest.approx(40, rel=1e-4)
     assert dem["calibration"]["orientation"] == "negative_depth"
     assert not dem["metrics"]["calibration_refit"] and dem["metrics"]["rmse"] > 1
     assert dem["reference"]["holdout_points"] == dem["metrics"]["valid_pixels"] == W * H - 1
     assert dem["inference"]["passes"] == 2 and any("horizontally flipped" in n for n in dem["notices"])
-    assert runs["gcp"]["calibration"]["scale"] == pytest.approx(5, rel=1e-5) and runs["gcp"]["metrics"] is None
-    assert runs["gcp"]["calibration"]["reference_samples"] == 5
+    assert runs["gcp"]["calibration"]["scale"] == pytest.approx(3, rel=1e-5) and runs["gcp"]["metrics"] is None
+    assert runs["gcp"]["calibration"]["reference_samples"] == runs["gcp"]["reference"]["point_count"] == 6
     assert runs["truth"]["metrics"]["calibration_refit"] and runs["truth"]["output_basis"] == "benchmark-fit"
     assert any("calibration leakage" in n for n in runs["truth"]["notices"])
     assert any(n.startswith("Shadow-based metric calibration was not applied: No acquisition timestamp") for n in runs["georef"]["notices"])
@@ -127,6 +127,24 @@ def test_shadows_give_a_scale_when_the_image_is_located(spark, grid):
     kept = out["heights"].agg(F.max("height")).first()[0]
     assert kept < scale * 1.1 * (high - low) + 5
     assert any("constant vertical offset" in n for n in run["notices"])
+    dark = (image.sum(axis=2) < 100).mean()
+    assert run["reference"]["coverage"] == pytest.approx(dark, abs=0.02)
+
+
+def test_an_unreadable_time_only_costs_the_shadows(spark, grid):
+    ok = np.ones((H, W), dtype=bool)
+    red = np.round(ramp(W, H) * 80).astype(np.int16)
+    rows = [(n, f"{n}.tif", W, H, "EPSG:3857", TRANSFORM, {}, "bilinear", "fast", "soon", f"job {n}") for n in ("dem", "alone")]
+    scenes = spark.createDataFrame(rows, SCENES + ", acquisition_time string, job_id string")
+    pixels = _union([grid(n, r=red, g=red, b=red, valid=ok) for n in ("dem", "alone")])
+    depth = _union([grid(n, depth=-red / np.float32(100)) for n in ("dem", "alone")])
+    dem = grid("dem", value=(10 + red / 50.0).astype(np.float32), valid=ok)
+    header = scenes.where("scene_id = 'dem'").select("scene_id", "width", "height", "crs", "transform")
+    out = calibrate_scenes(Inputs(scenes, pixels, depth=depth, dem=(dem, header)))
+    runs = {r["scene_id"]: r for r in out["runs"].collect()}
+    assert out["rejects"].count() == 0 and runs["dem"]["mode"] == "reference_dem_calibrated_dsm"
+    assert runs["alone"]["mode"] == "relative_depth" and runs["alone"]["job_id"] == "job alone"
+    assert any("must be ISO 8601" in n for n in runs["alone"]["notices"])
 
 
 def test_display_is_separate_from_measurement(spark, grid, array):
@@ -160,28 +178,30 @@ def test_demo_run(spark):
     assert out["mesh_headers"].first()["width"] == 192
 
 
-def test_intake_analyses_each_job_once(spark, tmp_path):
-    day = dt.datetime(2024, 5, 1)
-    rows = [
-        ("j1", "a", day, 10, 10, "bilinear", "fast", False, False),
-        ("j1", "a", day, 10, 10, "bilinear", "fast", False, False),
-        ("j2", "b", day, 10, 10, "nearest", "fast", True, True),
-        ("j3", "c", day, 0, 10, "nearest", "fast", False, False),
-    ]
+def test_intake_analyses_each_job_once_and_loses_none(spark, tmp_path):
+    day = dt.datetime(2024, 5, 1, 12)
+
+    def manifest(job, scene, hours=0, width=10, both=False):
+        return (job, scene, day + dt.timedelta(hours=hours), width, 10, "nearest", "fast", both, both)
+
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    spark.createDataFrame(rows, intake.MANIFEST).coalesce(1).write.parquet(source)
 
     def analysis(accepted):
         return accepted.select("job_id", "scene_id", F.lit("relative_depth").alias("mode"))
 
-    def go():
+    def go(*rows):
+        spark.createDataFrame(rows, intake.MANIFEST).coalesce(1).write.mode("append").parquet(source)
         intake.start_intake(spark, source, out, state, analysis).awaitTermination(120)
-        return {r["job_id"]: (r["mode"], r["reason"]) for r in spark.read.parquet(out).collect()}, spark.read.parquet(out).count()
-
-    got, count = go()
-    assert count == 3 and got["j1"] == ("relative_depth", None)
-    assert "only one deployment" in got["j2"][1] and got["j3"][1] == "contains no raster pixels"
-    # a repeated job is dropped, a new one is analysed
-    spark.createDataFrame([rows[0], ("j4", *rows[0][1:])], intake.MANIFEST).coalesce(1).write.mode("append").parquet(source)
-    got, count = go()
-    assert count == 4 and set(got) == {"j1", "j2", "j3", "j4"}
+        return sorted((r["job_id"], r["mode"], r["reason"]) for r in spark.read.parquet(out).collect() if r["mode"]), [
+            (r["job_id"], r["reason"]) for r in spark.read.parquet(out).where("reason IS NOT NULL").collect()
+        ]
+
+    served, refused = go(
+        manifest("a", "x"), manifest("a", "x"), manifest("b", "y", both=True), manifest("c", "z", width=0)
+    )
+    assert served == [("a", "relative_depth", None)] and len(refused) == 3
+    assert "only one deployment" in dict(refused)["b"] and dict(refused)["c"] == "contains no raster pixels"
+    # three hours late, a repeat six hours later, and a refused job put right
+    served, refused = go(manifest("late", "w", hours=-3), manifest("a", "x", hours=6), manifest("c", "z", hours=1))
+    assert [job for job, _, _ in served] == ["a", "c", "late"]
+    assert [job for job, reason in refused if "already" in reason] == ["a", "a"] and len(refused) == 4

@@ -235,7 +235,8 @@ def test_scalar_codes(spark):
         pixel.quantise16(F.lit(3.0), low, low).alias("z"),
         pixel.dequantise(F.lit(255), low, high).alias("d"),
         pixel.mask_bit(F.lit(128)).alias("m"),
-        pixel.decoded_size_problem(F.lit(10000), F.lit(5001)).alias("p"),
+        pixel.decoded_size_problem(F.lit(10000), F.lit(5001), 50_000_000).alias("p"),
+        pixel.decoded_size_problem(F.lit(90000), F.lit(90000)).alias("any"),
         pixel.decoded_size_problem(F.lit(0), F.lit(5)).alias("n"),
         pixel.domain_unit(F.lit(7.0), F.lit(5.0), F.lit(5.0)).alias("u"),
         ramps.preview_colour(F.lit(0.0), F.lit(True))["red"].alias("r0"),
@@ -243,7 +244,7 @@ def test_scalar_codes(spark):
         ramps.preview_colour(F.lit(0.5), F.lit(False))["green"].alias("g"),
     ).first()
     assert (row["q"], row["z"], row["d"], row["m"]) == (32768, 0, 4.0, True)
-    assert row["p"] == "has 50,010,000 decoded pixels; the configured limit is 50,000,000" and row["n"] == "contains no raster pixels"
+    assert row["p"] == "has 50,010,000 decoded pixels; the configured limit is 50,000,000" and row["n"] == "contains no raster pixels" and row["any"] is None
     assert (row["u"], row["r0"], row["b1"], row["g"]) == (1.0, 24, 38, 20)
 
 

@@ -227,6 +227,7 @@ def predict(
     tiled = (longer > size) & (F.lit(quality) == "quality")
     tiles = F.size(tile_starts(F.col("n_rows"), size, overlap)) * F.size(tile_starts(F.col("n_cols"), size, overlap))
     count = F.when(tiled, tiles).otherwise(F.lit(0))
+    scale = F.least(F.lit(1.0), F.lit(float(max_side)) / longer)
     passes = F.when(tiled, tiles + 1).otherwise(F.lit(2 if quality == "quality" else 1))
     records = sizes.join(problems, "scene_id", "left").select(
         "scene_id",
@@ -234,6 +235,9 @@ def predict(
         passes.alias("passes"),
         tiled.alias("tiled"),
         count.alias("tile_count"),
+        # what one call of the estimator saw of the whole scene
+        F.greatest(F.lit(1.0), half_even(F.col("n_cols") * scale)).cast("int").alias("bounded_width"),
+        F.greatest(F.lit(1.0), half_even(F.col("n_rows") * scale)).cast("int").alias("bounded_height"),
         "problem",
     )
     depth = whole.where("problem IS NULL").drop("problem")

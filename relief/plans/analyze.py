@@ -15,7 +15,8 @@ from relief.operators import align, calibrate, diffuse, evaluate, focal, mesh, o
 from relief.operators.grid import attach, extent
 from relief.operators.stats import exact_percentiles, range_stats
 from relief.session import materialise
-from relief.sources import gcps as gcp_source
+from relief import sinks
+from relief.sources import gcps as gcp_source, osm
 
 CELL = ["scene_id", "row", "col"]
 
@@ -44,6 +45,38 @@ LEAKAGE_NOTICE = (
     "same-scene metrics contain calibration leakage and are benchmark-only."
 )
 
+SHADOW_NOTE = (
+    "Heights are relative to local ground, not a vertical datum. The fit "
+    "assumes shadows fall on level ground and are not clipped by neighbouring structures."
+)
+EXPORTED_NOTICE = (
+    "Calibrated predicted DSM GeoTIFF preserves the source CRS, transform, dimensions, valid-data mask, "
+    "and source tags. Horizontal CRS metadata does not establish a vertical datum or elevation unit."
+)
+NOT_EXPORTED_NOTICE = (
+    "A calibrated DSM GeoTIFF was not exported because the source image did not provide a valid GeoTIFF CRS and transform."
+)
+BOUNDED_NOTICE = "Model inference was bounded to %dx%d and resampled to the source grid %dx%d."
+REFINED_NOTICE = (
+    "The 3-D surface was edge-aligned to the source image with a guided filter (radius %d). This is a display-only "
+    "refinement; exported depth, the calibrated DSM, and all metrics use the unrefined prediction."
+)
+ROOFS_NOTICE = (
+    "%d building regions were segmented and their roofs fitted to planes for the 3-D surface. Display-only; "
+    "exported products are unaffected."
+)
+LEVELLED_NOTICE = (
+    "The 3-D surface was levelled with %d anisotropic-diffusion steps to flatten roof planes. Display-only; "
+    "exported products are unaffected."
+)
+MAPPED_NOTICE = (
+    "%d blueprint-accurate vector building footprints were loaded from OpenStreetMap (OSM) with ML-derived heights "
+    "and vertical wall geometry."
+)
+SEPARATED_NOTICE = (
+    "%d accepted structure regions were separated into display-only roof and wall geometry; the raw prediction and "
+    "exported products are unchanged."
+)
 ACQUISITION_TIME = "acquisition_time must be ISO 8601, for example 2021-04-15T15:30:00Z"
 
 MODES = {
@@ -183,6 +216,7 @@ def _notices(c: dict[str, Column]) -> Column:
     """Ordered notes of a run; absent ones are dropped."""
     source, status = F.col("source"), F.col("status")
     good = status == "ok"
+    located = F.col("crs").isNotNull() & F.col("transform").isNotNull()
     deployed = good & source.isin("reference_dem", "gcps", "scene_shadows")
     return F.array_compact(
         F.array(
@@ -199,6 +233,10 @@ def _notices(c: dict[str, Column]) -> Column:
                 F.col("quality_mode") == "quality",
                 "Quality inference averaged the global prediction with a horizontally flipped consistency pass after relative-scale alignment.",
             ),
+            F.when(
+                (F.col("bounded_width") != F.col("width")) | (F.col("bounded_height") != F.col("height")),
+                F.format_string(BOUNDED_NOTICE, "bounded_width", "bounded_height", "width", "height"),
+            ),
             F.when(good & (source == "reference_dem"), DEM_LABEL),
             F.when(
                 good & (source == "reference_dem"),
@@ -221,6 +259,7 @@ def _notices(c: dict[str, Column]) -> Column:
                     F.col("reference_samples"),
                 ),
             ),
+            F.when(good & (source == "scene_shadows"), SHADOW_NOTE),
             F.when(
                 F.col("shadow_reason").isNotNull(),
                 F.concat(F.lit("Shadow-based metric calibration was not applied: "), F.col("shadow_reason")),
@@ -237,6 +276,7 @@ def _notices(c: dict[str, Column]) -> Column:
             F.when(deployed & ~F.col("has_truth"), NO_TRUTH_NOTICE),
             F.when(good & (source == "ground_truth_dsm"), BENCHMARK_LABEL),
             F.when(good & (source == "ground_truth_dsm"), LEAKAGE_NOTICE),
+            F.when(good & located, EXPORTED_NOTICE).when(good, NOT_EXPORTED_NOTICE),
         )
     )
 
@@ -256,7 +296,8 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         depth = _only(inputs.depth, scenes)
         records = scenes.select(
             "scene_id", text.setting("quality_mode").alias("quality_mode"), F.lit(1).alias("passes"),
-            F.lit(False).alias("tiled"), F.lit(0).alias("tile_count"), F.lit(None).cast("string").alias("problem"),
+            F.lit(False).alias("tiled"), F.lit(0).alias("tile_count"), F.col("width").alias("bounded_width"),
+            F.col("height").alias("bounded_height"), F.lit(None).cast("string").alias("problem"),
         )
     elif inputs.estimator is not None:
         depth, records = None, None
@@ -391,7 +432,7 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         mode.alias("mode"),
         text.output_basis(mode, F.col("source").isNotNull(), F.col("has_truth")).alias("output_basis"),
         "model",
-        F.struct("quality_mode", "passes", "tiled", "tile_count").alias("inference"),
+        F.struct("quality_mode", "passes", "tiled", "tile_count", "bounded_width", "bounded_height").alias("inference"),
         F.when(F.col("source").isNotNull(), F.struct(*_CALIBRATION[1:])).alias("calibration"),
         "metrics",
         reference.alias("reference"),
@@ -439,7 +480,10 @@ def display_scenes(measured: dict[str, DataFrame], inputs: Inputs, settings: Set
     segmented = regions.footprints(judged, rings, extent(levelled))
     if inputs.nodes is not None and inputs.ways is not None:
         usable = scenes.where("crs IS NOT NULL AND transform IS NOT NULL")
-        mapped = vector.osm_footprints(vector.way_rings(inputs.ways, inputs.nodes), usable, inputs.way_scenes)
+        near = inputs.way_scenes
+        if near is None:
+            near = osm.ways_in_scenes(osm.way_bounds(inputs.ways, inputs.nodes), osm.scene_boxes(usable))
+        mapped = vector.osm_footprints(vector.way_rings(inputs.ways, inputs.nodes), usable, near)
         mapped = vector.raise_footprints(materialise(mapped), levelled, "display", "ground", scenes)
         footprints = vector.choose_footprints(mapped, segmented)
     else:
@@ -466,6 +510,57 @@ def display_scenes(measured: dict[str, DataFrame], inputs: Inputs, settings: Set
 
 
 def analyze_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """Both parts; see calibrate_scenes and display_scenes."""
+    """Both parts and the tables to export; see calibrate_scenes and display_scenes.
+
+    `notices` has one row per scene with every note of its run, those on the
+    display last.
+    """
+    settings = settings or Settings()
     measured = calibrate_scenes(inputs, settings)
-    return {**measured, **display_scenes(measured, inputs, settings)}
+    shown = display_scenes(measured, inputs, settings)
+    return {
+        **measured,
+        **shown,
+        **_exports(measured, shown, inputs),
+        "notices": _all_notices(measured["runs"], shown, settings),
+    }
+
+
+def _all_notices(runs: DataFrame, shown: dict[str, DataFrame], settings: Settings) -> DataFrame:
+    """The notes of calibration followed by those of the display."""
+    labelled = shown["regions"].groupBy("scene_id").agg(F.countDistinct("label").alias("_labelled"))
+    kinds = shown["footprints"].groupBy("scene_id").agg(
+        F.count_if(F.col("source") == "osm").alias("_mapped"), F.count_if(F.col("source") == "segmentation").alias("_cut")
+    )
+    both = runs.select("scene_id", "notices").join(labelled, "scene_id", "left").join(kinds, "scene_id", "left")
+
+    def counted(column: str, notice: str) -> Column:
+        return F.when(F.col(column) > 0, F.format_string(notice, F.col(column)))
+
+    display = F.array(
+        F.lit(REFINED_NOTICE % settings.refine_radius),
+        counted("_labelled", ROOFS_NOTICE) if settings.flatten_roofs else F.lit(None).cast("string"),
+        F.lit(LEVELLED_NOTICE % settings.iterations if settings.iterations > 0 else None).cast("string"),
+        counted("_mapped", MAPPED_NOTICE),
+        counted("_cut", SEPARATED_NOTICE),
+    )
+    return both.select("scene_id", F.concat("notices", F.array_compact(display)).alias("notices"))
+
+
+def _exports(measured: dict[str, DataFrame], shown: dict[str, DataFrame], inputs: Inputs) -> dict[str, DataFrame]:
+    """K1, K3, K4 and K5: raw depth, calibrated grid, previews, masks."""
+    heights = measured["heights"]
+    grid, headers = sinks.calibrated_export(heights, measured["scenes"], measured["calibrations"])
+    _, masks = sinks.height16_tables(shown["height16"], shown["height16_headers"])
+    out = {
+        "depth_export": sinks.depth_export(heights),
+        "calibrated": grid,
+        "calibrated_headers": headers,
+        "height16_masks": masks,
+        "depth_preview": sinks.preview_table(heights, "depth"),
+        "height_preview": sinks.preview_table(heights.where("height IS NOT NULL"), "height"),
+    }
+    for name, given in (("truth", inputs.truth), ("dem", inputs.dem)):
+        if given is not None:
+            out[f"{name}_preview"] = sinks.preview_table(given[0], "value")
+    return out

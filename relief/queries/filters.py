@@ -8,6 +8,7 @@ from relief.functions import pixel, ramps
 from relief.functions.core import dbl, half_even
 from relief.operators import diffuse, focal
 from relief.operators.grid import attach
+from relief.operators.regions import GROUND_RADIUS
 from relief.operators.stats import range_stats
 from relief.plans import fixtures as fx
 from relief.plans.fixtures import q6
@@ -70,6 +71,18 @@ def ground_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*CELL, half_even("ground", 6).alias("ground"))
 
 
+@query(
+    "ground_opening_default",
+    f"""WITH {fx.DEPTH}, {_square('depth', 'er', {'v': 'depth'}, 32, 'min')},
+     {_square('er', 'di', {'g': 'v'}, 32, 'max')}
+    SELECT scene_id, "row", col, {q6('g')} AS ground FROM di""",
+)
+def ground_opening_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2a at the radius that segmentation uses."""
+    out = focal.ground_surface(fx.depth(spark, sf_dir), "depth", GROUND_RADIUS)
+    return out.select(*CELL, half_even("ground", 6).alias("ground"))
+
+
 def _gradient_sql(source: str, target: str, value: str = "v") -> str:
     def diff(window: str) -> str:
         return (

@@ -8,6 +8,7 @@ from relief.functions import pixel, ramps
 from relief.functions.core import dbl, half_even, is_finite
 from relief.operators import focal
 from relief.operators.grid import attach
+from relief.operators.mesh import fill_invalid
 from relief.operators.stats import exact_percentiles, range_stats
 from relief.plans import fixtures as fx
 from relief.plans.fixtures import q6
@@ -180,14 +181,12 @@ def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fill_median",
     f"""WITH {fx.TRUTH}, s AS (SELECT scene_id, median(CAST(value AS DOUBLE)) AS fill FROM truth WHERE valid GROUP BY scene_id)
-    SELECT scene_id, "row", col, {q6('CASE WHEN valid THEN CAST(value AS DOUBLE) ELSE fill END', 4)} AS filled
+    SELECT scene_id, "row", col, {q6('CAST(CAST(CASE WHEN valid THEN CAST(value AS DOUBLE) ELSE fill END AS FLOAT) AS DOUBLE)', 4)} AS filled
     FROM truth JOIN s USING (scene_id)""",
 )
 def fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.truth(spark, sf_dir)
-    stats = exact_percentiles(cells, "value", {"fill": 0.5}, where=F.col("valid")).drop("n", "low", "high")
-    filled = F.when(F.col("valid"), dbl("value")).otherwise(F.col("fill"))
-    return attach(cells, stats, how="left").select(*CELL, half_even(filled, 4).alias("filled"))
+    return fill_invalid(cells, "value", F.col("valid")).select(*CELL, half_even(dbl("filled"), 4).alias("filled"))
 
 
 @query(

@@ -12,6 +12,7 @@ from relief.plans import fixtures as fx
 from relief.plans.fixtures import q6
 from relief.queries.registry import query
 from relief.sources import catalog, files, rasters
+from relief.streaming import intake
 
 
 @query(
@@ -118,9 +119,47 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS length FROM documents",
 )
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("length")
+    contents = fx.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").alias("content")
     )
+    return files.hash_contents(contents).withColumnRenamed("path", "doc_id")
+
+
+@query(
+    "file_totals",
+    """WITH f AS (SELECT source || '/' || lang || CASE WHEN doc_id % 3 = 0 THEN '.csv' ELSE '.txt' END AS path, n_chars FROM documents),
+     l AS (SELECT path, max(n_chars) AS length FROM f GROUP BY path)
+    SELECT count(*) AS file_count, count_if(path LIKE '%.csv')::BIGINT AS data_files, sum(length)::BIGINT AS bytes FROM l""",
+)
+def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.file_totals(file_listing(spark, sf_dir))
+
+
+@query(
+    "scene_intake",
+    """WITH m AS (
+      SELECT 'j' || (o_orderkey % 997) AS job_id, 's' || o_orderkey AS scene_id, o_orderdate AS ts,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'Supply only one deployment calibration reference: reference_dem or gcps'
+             WHEN o_orderkey % 4 = 3 THEN 'GCP sampling must be ''nearest'' or ''bilinear'''
+             WHEN o_orderkey % 41 = 0 THEN 'contains no raster pixels' END AS early FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id, early IS NULL ORDER BY ts, scene_id) AS n FROM m)
+    SELECT job_id, scene_id, coalesce(early, CASE WHEN n > 1 THEN 'this job has been analysed already' END) AS reason FROM r""",
+)
+def scene_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 as one batch: every manifest leaves with a reason or is the one served for its job."""
+    k = F.col("o_orderkey")
+    manifests = fx.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("j"), (k % 997).cast("string")).alias("job_id"),
+        F.concat(F.lit("s"), k.cast("string")).alias("scene_id"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        (k % 41).cast("int").alias("width"),
+        F.lit(10).alias("height"),
+        F.when(k % 4 == 3, "cubic").otherwise(" Nearest ").alias("gcp_sampling"),
+        F.lit("fast").alias("quality_mode"),
+        (k % 11 == 0).alias("has_dem"),
+        (k % 11 == 0).alias("has_gcps"),
+    )
+    return intake.once_per_job(intake.checked_manifests(manifests)).select("job_id", "scene_id", "reason")
 
 
 @query(

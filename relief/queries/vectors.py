@@ -262,3 +262,27 @@ def ways_in_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p"), F.col("s_suppkey")).alias("scene_id"), *box(F.col("s_suppkey") * 0.017, F.col("s_nationkey") * 0.003, 0.025, 0.011, "")
     )
     return osm.ways_in_scenes(ways, scenes)
+
+
+@query(
+    "osm_elements",
+    """SELECT 'way' AS kind, c_custkey AS id, 5 AS refs FROM customer
+    UNION ALL SELECT 'node', c_custkey * 5 + k, 0 FROM customer, range(4) r(k) WHERE (c_custkey * 5 + k) % 13 <> 0""",
+)
+def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of documents that overlap: each is in two of them and counts once."""
+    nothing = {"nodes": "array<bigint>", "tags": "map<string,string>", "lon": "double", "lat": "double"}
+
+    def elements(df: DataFrame, kind: str) -> DataFrame:
+        fields = [F.lit(kind).alias("type"), F.col("id").cast("long").alias("id")]
+        for name in ("lon", "lat", "nodes", "tags"):
+            value = F.col(name) if name in df.columns else F.lit(None)
+            fields.append(value.cast(nothing[name]).alias(name))
+        return df.select("id", F.struct(*fields).alias("e"))
+
+    both = elements(fx.osm_nodes(spark, sf_dir), "node").unionByName(elements(fx.osm_ways(spark, sf_dir), "way"))
+    document = F.explode(F.array(F.col("id") % 211, F.col("id") % 307 + 1000)).alias("document")
+    documents = both.select(document, "e").groupBy("document").agg(F.collect_list("e").alias("elements"))
+    nodes, ways = osm.split_elements(documents)
+    found = ways.select(F.lit("way").alias("kind"), "id", F.size("nodes").alias("refs"))
+    return found.unionByName(nodes.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("refs")))

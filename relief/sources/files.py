@@ -31,7 +31,10 @@ def file_totals(files: DataFrame) -> DataFrame:
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of every input file."""
-    files = spark.read.format("binaryFile").load(path)
+    return hash_contents(spark.read.format("binaryFile").load(path))
+
+
+def hash_contents(files: DataFrame) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from relief.functions.projection import forward, reproject_point
 
 _ELEMENT = T.StructType(
     [
@@ -65,6 +66,21 @@ def way_bounds(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def scene_boxes(scenes: DataFrame) -> DataFrame:
+    """Longitude and latitude range of each located scene's corners."""
+
+    def corner(x: Column, y: Column) -> Column:
+        lon, lat = reproject_point(*forward(F.col("transform"), x, y), F.col("crs"), F.lit("EPSG:4326"))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    zero, width, height = F.lit(0.0), F.col("width").cast("double"), F.col("height").cast("double")
+    corners = F.array(corner(zero, zero), corner(width, zero), corner(zero, height), corner(width, height))
+    boxes = scenes.select("scene_id", F.inline(corners)).groupBy("scene_id").agg(
+        F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat")
+    )
+    return boxes.where("min_lon IS NOT NULL AND min_lat IS NOT NULL")
+
+
 def ways_in_scenes(bounds: DataFrame, scenes: DataFrame, cell: float = 0.01) -> DataFrame:
     """(scene_id, way_id) pairs whose boxes overlap.
 
@@ -92,6 +108,7 @@ __all__ = [
     "cache_key",
     "cached_and_missing",
     "read_osm_json",
+    "scene_boxes",
     "split_elements",
     "store_ways",
     "way_bounds",

@@ -167,9 +167,45 @@ def test_display_is_separate_from_measurement(spark, grid, array):
     head = out["mesh_headers"].first()
     assert (head["width"], head["height"]) == (64, 64) and head["maximum"] == pytest.approx(display.max(), abs=1e-5)
     assert out["height16"].agg(F.max("q")).first()[0] == 65535
+    notes = out["notices"].first()["notices"]
+    assert any("guided filter (radius 2)" in n for n in notes) and any(n.startswith("1 building regions") for n in notes)
+    assert any("4 anisotropic-diffusion steps" in n for n in notes) and any(n.startswith("1 accepted structure") for n in notes)
+    assert np.array_equal(array(out["depth_export"], "depth"), heights) and out["depth_preview"].count() == size * size
+    assert out["calibrated"].count() == 0 and out["height16_masks"].count() == 0
     assert out["normals"].count() == size * size
 
 
+def test_map_buildings_find_their_scene(spark, grid):
+    """Ways reach their scene through their bounds, also when delivered twice."""
+    from relief.functions.projection import from_mercator
+
+    size = 60
+    transform = [2.0, 0.0, 500000.0, 0.0, -2.0, 2000000.0]
+    scenes = spark.createDataFrame(
+        [("a", "a.tif", size, size, "EPSG:3857", transform, {}, "bilinear", "fast")], SCENES
+    )
+    corners, refs = [], []
+    for k in range(12):
+        col, row = 4 + 14 * (k % 4), 5 + 18 * (k // 4)
+        for j, (dx, dy) in enumerate(((0, 0), (8, 0), (8, 8), (0, 8))):
+            corners.append((10 * k + j, 500000.0 + 2 * (col + dx), 2000000.0 - 2 * (row + dy)))
+        refs.append((k, [10 * k, 10 * k + 1, 10 * k + 2, 10 * k + 3, 10 * k], {"building": "yes"}))
+    lon, lat = from_mercator(F.col("x"), F.col("y"))
+    nodes = spark.createDataFrame(corners, "id long, x double, y double").select("id", lon.alias("lon"), lat.alias("lat"))
+    ways = spark.createDataFrame(refs + refs[:5], "id long, nodes array<long>, tags map<string,string>")
+    ok = np.ones((size, size), dtype=bool)
+    depth = np.zeros((size, size), dtype=np.float32)
+    for k in range(12):
+        depth[5 + 18 * (k // 4) : 13 + 18 * (k // 4), 4 + 14 * (k % 4) : 12 + 14 * (k % 4)] = 0.8
+    gray = np.where(depth > 0.5, 210, 80).astype(np.int16)
+    inputs = Inputs(scenes, grid("a", r=gray, g=gray, b=gray, valid=ok), depth=grid("a", depth=depth), nodes=nodes, ways=ways)
+    settings = Settings(refine_radius=2, iterations=2, ground_radius=8, min_area=16, mesh_edge=64)
+    out = analyze_scenes(inputs, settings)
+    prints = out["footprints"].collect()
+    assert len(prints) == 12 and {p["source"] for p in prints} == {"osm"}
+    assert any(n.startswith("12 blueprint-accurate") for n in out["notices"].first()["notices"])
+
+
 def test_demo_run(spark):
     out = demo.demo_run(spark)
     run = out["runs"].first()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relief.functions.core import EPS32, dbl, half_even, is_finite
 from relief.operators.align import resize_bilinear
 from relief.operators.grid import attach, extent
+from relief.operators.stats import exact_percentiles
 from relief.session import materialise
 
 Estimator = Callable[[np.ndarray], np.ndarray]
@@ -71,8 +72,8 @@ def blend_weight(size: int) -> Column:
 def match_scale(predicted: DataFrame, value: str, reference: str, keys: tuple[str, ...]) -> DataFrame:
     """Scale and offset that bring a tile's p5/p50/p95 onto the reference's.
 
-    Keys are bounded groups (a tile, or a scene no larger than one). Fewer than
-    32 comparable cells leave the prediction as it is.
+    Keys are bounded groups: tiles. Fewer than 32 comparable cells leave the
+    prediction as it is.
     """
     pair = is_finite(value) & is_finite(reference)
     probs = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
@@ -81,14 +82,29 @@ def match_scale(predicted: DataFrame, value: str, reference: str, keys: tuple[st
         F.percentile(F.when(pair, dbl(value)), probs).alias("_p"),
         F.percentile(F.when(pair, dbl(reference)), probs).alias("_q"),
     )
+    return _with_scale(stats).select(*keys, "scale", "offset")
+
+
+def _with_scale(stats: DataFrame) -> DataFrame:
+    """Add scale and offset from the count `_n` and the p5/p50/p95 of both sides."""
     span_p, span_q = F.col("_p")[2] - F.col("_p")[0], F.col("_q")[2] - F.col("_q")[0]
     scale = F.when((span_p <= EPS32) | (span_q <= EPS32), F.lit(1.0)).otherwise(F.try_divide(span_q, span_p))
     enough = F.col("_n") >= MIN_MATCHED
-    return stats.withColumn("scale", F.when(enough, scale).otherwise(F.lit(1.0))).select(
-        *keys,
-        "scale",
-        F.when(enough, F.col("_q")[1] - F.col("scale") * F.col("_p")[1]).otherwise(F.lit(0.0)).alias("offset"),
-    )
+    offset = F.when(enough, F.col("_q")[1] - F.col("scale") * F.col("_p")[1]).otherwise(F.lit(0.0))
+    return stats.withColumn("scale", F.when(enough, scale).otherwise(F.lit(1.0))).withColumn("offset", offset)
+
+
+def match_scene(cells: DataFrame, value: str, reference: str) -> DataFrame:
+    """A21 for whole scenes of any size: the percentiles are counted, not collected."""
+    pair = is_finite(value) & is_finite(reference)
+    probs = {"_5": 0.05, "_50": 0.5, "_95": 0.95}
+
+    def triple(column: str, alias: str) -> DataFrame:
+        found = exact_percentiles(cells, column, probs, where=pair)
+        return found.withColumn(alias, F.array(*probs)).drop(*probs, "low", "high")
+
+    both = triple(value, "_p").withColumnRenamed("n", "_n").join(triple(reference, "_q").select("scene_id", "_q"), "scene_id")
+    return _with_scale(both).drop("_p", "_q", "_n")
 
 
 def blend_tiles(tiles: DataFrame, size: int, global_share: float = GLOBAL_SHARE) -> DataFrame:
@@ -111,15 +127,14 @@ def blend_tiles(tiles: DataFrame, size: int, global_share: float = GLOBAL_SHARE)
 def flip_average(cells: DataFrame, value: str = "depth", flipped: str = "flipped") -> DataFrame:
     """Mean of a prediction and its matched mirrored twin.
 
-    `cells` has both on the mirrored image's own columns and n_cols; scenes here
-    are at most one tile in size.
+    `cells` has both on the mirrored image's own columns and n_cols.
     """
     mirrored = cells.select(
         "scene_id", "row", (F.col("n_cols") - 1 - F.col("col")).cast("int").alias("col"), F.col(flipped).alias("_m")
     )
     pairs = materialise(cells.drop(flipped).join(mirrored, ["scene_id", "row", "col"]))
-    matched = pairs.join(match_scale(pairs, "_m", value, ("scene_id",)), "scene_id")
-    twin = dbl("_m") * F.col("scale") + F.col("offset")
+    matched = attach(pairs.drop("n_cols"), match_scene(pairs, "_m", value), how="left")
+    twin = dbl("_m") * F.coalesce("scale", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))
     return matched.select("scene_id", "row", "col", ((dbl(value) + twin) / 2.0).cast("float").alias("depth"))
 
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import ALNUM, aside, column, lists, long_values, restored, signed, split_words
+from relief.llm.common import ALNUM, aside, column, lists, long_values, restored, split_words
 
 # fixed values: sets of words that name groups of people; members are swapped in turn
 IDENTITY_SETS = (
@@ -45,9 +45,14 @@ IDENTITY_SETS = (
 )
 
 
+def short(word: np.ndarray) -> np.ndarray:
+    """32-bit fingerprints: the vocabulary is far smaller, and the driver holds half the bytes."""
+    return (word >> np.uint64(32)).astype(np.uint32)
+
+
 @dataclass
 class Model:
-    """Sorted word fingerprints with a weight each, and the intercept."""
+    """Sorted 32-bit word fingerprints with a weight each, and the intercept."""
 
     word: np.ndarray
     weight: np.ndarray
@@ -58,11 +63,12 @@ class Model:
         if not len(self.word):
             return out
         bits = np.zeros(1 << 22, dtype=bool)
-        bits[(self.word >> np.uint64(42)).astype(np.int64)] = True
+        bits[self.word >> np.uint32(10)] = True
         for piece in split_words(texts, ALNUM, lower=True):
-            maybe = np.flatnonzero(bits[(piece.word >> np.uint64(42)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.word, piece.word[maybe]), len(self.word) - 1)
-            hit = self.word[at] == piece.word[maybe]
+            word = short(piece.word)
+            maybe = np.flatnonzero(bits[word >> np.uint32(10)])
+            at = np.minimum(np.searchsorted(self.word, word[maybe]), len(self.word) - 1)
+            hit = self.word[at] == word[maybe]
             # presence: each word of the model once per document
             pairs = np.unique(piece.doc()[maybe[hit]] * len(self.word) + at[hit])
             out[piece.rows] += np.bincount(
@@ -91,18 +97,19 @@ def labelled_words(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFra
         for batch in batches:
             toxic = long_values(batch, "_toxic")
             for piece in split_words(column(batch, "text"), ALNUM, lower=True):
-                order = np.lexsort((piece.word, piece.doc()))
-                doc, word = piece.doc()[order], piece.word[order]
+                word = short(piece.word)
+                order = np.lexsort((word, piece.doc()))
+                doc, word = piece.doc()[order], word[order]
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
                 counts = np.bincount(doc[new], minlength=len(piece.rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[piece.rows].astype(np.int32)), lists(signed(word[new]), counts)], ["toxic", "words"]
+                    [pa.array(toxic[piece.rows].astype(np.int32)), lists(word[new].view(np.int32), counts)], ["toxic", "words"]
                 )
 
     # at most max_rows ids, so this side is small by its parameter
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    return joined.select("text", "_toxic").mapInArrow(words, "toxic int, words array<long>")
+    return joined.select("text", "_toxic").mapInArrow(words, "toxic int, words array<int>")
 
 
 def _identity_ids(vocabulary: np.ndarray) -> list[list[int]]:
@@ -110,8 +117,9 @@ def _identity_ids(vocabulary: np.ndarray) -> list[list[int]]:
     sets = []
     for names in IDENTITY_SETS:
         (piece,) = split_words(pa.array([" ".join(names)]), ALNUM, lower=True)
-        at = np.minimum(np.searchsorted(vocabulary, piece.word), len(vocabulary) - 1)
-        sets.append([int(a) for a, w in zip(at, piece.word, strict=True) if vocabulary[a] == w])
+        word = short(piece.word)
+        at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+        sets.append([int(a) for a, w in zip(at, word, strict=True) if vocabulary[a] == w])
     return [s for s in sets if len(s) > 1]
 
 
@@ -128,7 +136,7 @@ def fit(
     n = len(toxic)
     positive = int(toxic.sum())
     prior = (positive + 1) / (n + 4)
-    none = Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
+    none = Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
     if positive in (0, n):
         return none
     vocabulary, column_of, docs_of = np.unique(words, return_inverse=True, return_counts=True)
@@ -179,14 +187,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
     sample = labelled_words(docs, labels, max_rows).toArrow()
     words = sample.column("words").combine_chunks()
     counts = np.asarray(words.value_lengths().fill_null(0)).astype(np.int64) if len(words) else np.empty(0, np.int64)
-    flat = np.asarray(words.flatten()).astype(np.int64).view(np.uint64)
+    flat = np.asarray(words.flatten()).astype(np.int32, copy=False).view(np.uint32)
     toxic = (np.asarray(sample.column("toxic")) == 1).astype(float)
     # any order of arrival gives the same sums: sort documents by label and content
-    tag = np.add.reduceat(flat, np.minimum(np.cumsum(counts) - counts, max(0, len(flat) - 1))) if len(flat) else np.zeros(len(counts), np.uint64)
-    order = np.lexsort((tag, counts, toxic))
     first = np.cumsum(counts) - counts
-    picked = np.repeat(first[order] - (np.cumsum(counts[order]) - counts[order]), counts[order]) + np.arange(counts.sum())
-    return fit(toxic[order], flat[picked], counts[order], **options)
+    tag = np.add.reduceat(flat, np.minimum(first, max(0, len(flat) - 1))) if len(flat) else np.zeros(len(counts), np.uint32)
+    order = np.lexsort((tag, counts, toxic))
+    shift = (first[order] - (np.cumsum(counts[order]) - counts[order])).astype(np.int32)
+    flat = flat[np.repeat(shift, counts[order]) + np.arange(len(flat), dtype=np.int32)]
+    del words, sample
+    return fit(toxic[order], flat, counts[order], **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -63,7 +63,7 @@ def test_identity_swaps_lower_the_gap_between_groups():
         toxic.append(float(bad))
     hashes = []
     for piece in toxicity.split_words(pa.array(texts), toxicity.ALNUM, lower=True):
-        hashes += [np.unique(piece.word[a:b]) for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
+        hashes += [np.unique(toxicity.short(piece.word)[a:b]) for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
     counts = np.array([len(h) for h in hashes])
     plain = toxicity.fit(np.array(toxic), np.concatenate(hashes), counts, swap_penalty=0.0)
     fair = toxicity.fit(np.array(toxic), np.concatenate(hashes), counts, swap_penalty=20.0)

@@ -35,8 +35,9 @@ def corpus(spark, tmp_path_factory):
         docs[k][1] += " " + " ".join(rng.sample(["vilewort", "scumbrel", "loathly"], 2))
         labels[k] = (k, 0, 1)
     docs[100][1] += "\n" + item
-    docs[101][1] = docs[102][1].replace(" ", "  ", 1)  # near copy of 102 by its words
-    docs[103][1] = docs[110][1].rsplit(" ", 2)[0] + " altered end"
+    # near copies by their words, of which no line is the same
+    docs[101][1] = docs[102][1].replace(" ", "  ")
+    docs[103][1] = docs[110][1].replace(" ", "  ").rsplit(" ", 1)[0] + " altered"
     docs[120][1] += "\n" + block
     docs[121][1] += "\n" + block
     rows = [tuple([*d[:4], len(d[1])]) for d in docs]
@@ -61,8 +62,7 @@ def test_stages_catch_planted_cases_and_keep_the_rest(spark, corpus):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()}
     after = texts["line dedup"]
     assert after[120] == before[120] and len(after[121]) < len(before[121]) - 300
-    assert near == lines - {102, 110} or near == lines - {101, 110} or len(lines - near) == 2
-    assert {101, 102} & near and {103, 110} & near and len(near) == len(lines) - 2
+    assert near == lines - {102, 110}
     assert leaks == near - {100}
     assert mixed <= leaks and all(r.taken > 0 for r in rows)
     assert {r.doc_id for r in corpus_pipeline.run(spark, corpus).collect()} == mixed

@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
 
 A test item is described by its word n-grams (words are runs of ASCII letters,
-digits and non-ASCII bytes, A-Z lower-cased). How many corpus documents hold
-each n-gram is counted over all documents, and the rarer half of those of an
-item's n-grams that occur at all become its seeds. A document whose words hold seeds of an item near one
-diagonal is aligned with the whole item around that diagonal; the local
+digits and non-ASCII bytes, A-Z lower-cased). Every n-gram of an item is a seed,
+however often it occurs: which of them an edited copy still holds does not
+depend on how rare they are. A document whose words hold seeds of an item near one
+diagonal is aligned with the whole item around that diagonal, unless too few of
+the item's words stand there for any alignment to reach the threshold; the local
 alignment score, as a share of the score of a perfect copy, tells copies that
 were edited or cut from chance.
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import ALNUM, column, mix, sequences, signed, split_words, whole
+from relief.llm.common import ALNUM, column, sequences, split_words, whole
 
 SCHEMA = "doc_id long, item_id long, score double, start_word int, end_word int, seeds int"
 _ARROW = pa.schema(
@@ -40,6 +41,7 @@ _ARROW = pa.schema(
     ]
 )
 MATCH, MISMATCH, GAP = 2, -1, -1
+AT_ONCE = 1 << 20  # meetings of words and seeds that are sorted together
 
 
 @dataclass
@@ -53,6 +55,29 @@ class Seeds:
     items: list  # item ids
     words: list  # fingerprints of each item's words
 
+    def meetings(self, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+        """Words `at` beside all places of their grams `which`, about AT_ONCE at a time: (at, entry).
+
+        All meetings of a document and an item come together.
+        """
+        key = np.repeat(np.arange(len(self.gram)), np.diff(self.first)) * len(self.words) + self.item
+        total = np.append(0, np.cumsum(self.first[which + 1] - self.first[which]))
+        ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))  # of the documents
+        low = 0
+        while low < len(at):
+            fit = ends[(ends > low) & (total[ends] - total[low] <= AT_ONCE)]
+            high = int(fit[-1] if len(fit) else ends[ends > low][0])
+            # a single document with more meetings takes the items in ranges
+            parts = min(len(self.words), int(-(-(total[high] - total[low]) // AT_ONCE)))
+            cut = np.linspace(0, len(self.words), parts + 1).astype(np.int64)
+            base = which[low:high] * len(self.words)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                begin = np.searchsorted(key, base + a)
+                many = np.searchsorted(key, base + b) - begin
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield np.repeat(at[low:high], many), np.repeat(begin, many) + step
+            low = high
+
 
 def _item_words(rows, min_words: int) -> tuple[list, list]:
     ids, words = [], []
@@ -86,32 +111,6 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return maybe[hit], at[hit]
 
 
-def gram_counts(docs: DataFrame, grams: np.ndarray, size: int) -> DataFrame:
-    """In how many documents each of the given n-grams occurs: (gram, docs)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(grams), dtype=np.int64)
-        for batch in batches:
-            for piece in split_words(column(batch, "text"), ALNUM, lower=True):
-                at, which = _find(grams, np.where(whole(piece, size), sequences(piece.word, size), 0))
-                pairs = np.unique(piece.doc()[at] * len(grams) + which)
-                np.add.at(total, pairs % max(1, len(grams)), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(grams[seen])), pa.array(total[seen])], ["gram", "docs"])
-
-    return docs.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-
-
-def _rarer_half(gram, item, place, counts: dict) -> np.ndarray:
-    """Rows of the rarer half of each item's n-grams that occur; ties are spread over the item."""
-    seen = np.array([counts.get(int(g), 0) for g in signed(gram)], dtype=np.int64)
-    order = np.lexsort((mix(place), seen, item))
-    order = order[seen[order] > 0]
-    size = np.bincount(item[order], minlength=item.max() + 1)
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-    return np.sort(order[rank < (size[item[order]] + 1) // 2])
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over words: best local score and the text range it covers.
 
@@ -151,36 +150,38 @@ def _matches(docs: DataFrame, seeds: Seeds, size: int, threshold: float, min_see
                 at, which = _find(seeds.gram, np.where(whole(piece, size), sequences(piece.word, size), 0))
                 if not len(at):
                     continue
-                many = seeds.first[which + 1] - seeds.first[which]
-                entry = np.repeat(seeds.first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                doc, item = piece.doc()[np.repeat(at, many)], seeds.item[entry]
-                shift = piece.place()[np.repeat(at, many)] - seeds.place[entry]
-                order = np.lexsort((shift, item, doc))
-                doc, item, shift = doc[order], item[order], shift[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > band)
-                group = np.flatnonzero(new)
-                last = np.append(group[1:], len(doc)) - 1
-                for low, high in zip(group, last, strict=True):
-                    if high - low + 1 < min_seeds:
-                        continue
-                    words = seeds.words[item[low]]
-                    base, end = piece.first[doc[low]], piece.first[doc[low] + 1]
-                    left = max(base, base + shift[low] - band)
-                    right = min(end, base + shift[high] + len(words) + band)
-                    score, a, b = align(words, piece.word[left:right])
-                    share = score / (MATCH * len(words))
-                    if share >= threshold:
-                        found.append(
-                            (
-                                ids[int(piece.rows[doc[low]])].as_py(),
-                                seeds.items[item[low]],
-                                share,
-                                int(left - base + a),
-                                int(left - base + b),
-                                int(high - low + 1),
+                doc_of, place_of = piece.doc(), piece.place()
+                for at, entry in seeds.meetings(at, which, doc_of[at]):
+                    doc, item = doc_of[at], seeds.item[entry]
+                    shift = place_of[at] - seeds.place[entry]
+                    order = np.lexsort((shift, item, doc))
+                    doc, item, shift = doc[order], item[order], shift[order]
+                    new = np.ones(len(doc), dtype=bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > band)
+                    group = np.flatnonzero(new)
+                    last = np.append(group[1:], len(doc)) - 1
+                    enough = last - group + 1 >= min_seeds
+                    for low, high in zip(group[enough], last[enough], strict=True):
+                        words = seeds.words[item[low]]
+                        base, end = piece.first[doc[low]], piece.first[doc[low] + 1]
+                        left = max(base, base + shift[low] - band)
+                        right = min(end, base + shift[high] + len(words) + band)
+                        # no alignment scores more than all words of the item that stand here
+                        if np.isin(words, piece.word[left:right]).sum() < threshold * len(words):
+                            continue
+                        score, a, b = align(words, piece.word[left:right])
+                        share = score / (MATCH * len(words))
+                        if share >= threshold:
+                            found.append(
+                                (
+                                    ids[int(piece.rows[doc[low]])].as_py(),
+                                    seeds.items[item[low]],
+                                    share,
+                                    int(left - base + a),
+                                    int(left - base + b),
+                                    int(high - low + 1),
+                                )
                             )
-                        )
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, f.type) for v, f in zip(zip(*found, strict=True), _ARROW, strict=True)], schema=_ARROW
@@ -213,10 +214,7 @@ def contaminated(
         gram, item, place = _grams(words, size)
         if not len(gram):
             continue
-        distinct = np.unique(gram)
-        counts = {r["gram"]: r["docs"] for r in gram_counts(docs, distinct, size).collect()}
-        keep = _rarer_half(gram, item, place, counts)
-        order = keep[np.argsort(gram[keep], kind="stable")]
+        order = np.argsort(gram, kind="stable")
         unique, first = np.unique(gram[order], return_index=True)
         seeds = Seeds(unique, np.append(first, len(order)), item[order], place[order], ids, words)
         parts.append(_matches(docs, seeds, size, threshold, min_seeds))

@@ -138,3 +138,36 @@ def test_odd_rows_of_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(odd, none).count() == 0
     assert decontaminate.drop_contaminated(odd, none).count() == odd.count()
     assert decontaminate.contaminated(empty, bench).count() == 0
+
+
+def test_edited_copies_beside_an_intact_one_are_found(spark):
+    item = prose(4000, 36, 3000)
+    broken = [w if i % 6 else f"q{i}" for i, w in enumerate(item)]
+    docs = {k: prose(4100 + k, 60, 3000) for k in range(9)}
+    for k in range(8):  # the trigrams that the edit broke occur in document 0 only
+        docs[k][20:20] = broken if k else item
+    df = table(spark, [(k, " ".join(t), None) for k, t in docs.items()])
+    bench = table(spark, [(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(df, bench).collect()
+    assert {r.doc_id for r in found} == set(range(8)) and {r.doc_id for r in found if r.score == 1} == {0}
+
+
+def test_meetings_in_parts_are_all_meetings(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 4, 30).astype(np.uint64) for _ in range(9)]
+    gram, item, place = decontaminate._grams(words, 3)
+    order = np.argsort(gram, kind="stable")
+    unique, first = np.unique(gram[order], return_index=True)
+    seeds = decontaminate.Seeds(unique, np.append(first, len(order)), item[order], place[order], list(range(9)), words)
+    at = np.arange(200)
+    which, doc = rng.integers(0, len(unique), 200), np.sort(rng.integers(0, 6, 200))
+    want = sorted((a, e) for a in at for e in range(seeds.first[which[a]], seeds.first[which[a] + 1]))
+    for limit in (1, 50, 400, 1 << 20):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", limit)
+        met, pairs = [], set()
+        for a, e in seeds.meetings(at, which, doc):
+            met += zip(a.tolist(), e.tolist(), strict=True)
+            own = set(zip(doc[a].tolist(), seeds.item[e].tolist(), strict=True))
+            assert not own & pairs
+            pairs |= own
+        assert sorted(met) == want

@@ -12,8 +12,11 @@ were edited or cut from chance.
 Items are handled in blocks of bounded size, each against all documents, so the
 seed table that travels with the tasks never grows with the benchmark.
 
-Defined results: null or empty texts match nothing; items of fewer than
-`min_words` words are not searched, as so few words occur by chance; repeated
+Items of fewer than `min_words` words, or with too few n-grams for `min_seeds`,
+are looked up by their whole word sequence instead: a place that holds all of
+it in order matches with score 1 and counts as one seed.
+
+Defined results: null or empty texts and items without words match nothing; repeated
 document rows give repeated result rows, repeated items are separate items;
 a null doc_id or item_id is returned as it is. Other columns are ignored.
 """
@@ -54,6 +57,7 @@ class Seeds:
     place: np.ndarray
     items: list  # item ids
     words: list  # fingerprints of each item's words
+    exact: list  # (length, sorted distinct sequences, ranges, item ids) of the short items
 
     def meetings(self, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
         """Words `at` beside all places of their grams `which`, about AT_ONCE at a time: (at, entry).
@@ -79,12 +83,12 @@ class Seeds:
             low = high
 
 
-def _item_words(rows, min_words: int) -> tuple[list, list]:
+def _item_words(rows) -> tuple[list, list]:
     ids, words = [], []
     for piece in split_words(pa.array([r["text"] for r in rows], pa.string()), ALNUM, lower=True):
         for k, row in enumerate(piece.rows):
             own = piece.word[piece.first[k] : piece.first[k + 1]]
-            if len(own) >= min_words:
+            if len(own):
                 ids.append(rows[int(row)]["item_id"])
                 words.append(own.copy())
     return ids, words
@@ -139,6 +143,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _short(ids: list, words: list) -> list:
+    """The items' whole word sequences by their length: (length, sequences, ranges, item ids)."""
+    out = []
+    for length in sorted({len(w) for w in words}):
+        own = [k for k, w in enumerate(words) if len(w) == length]
+        mark = np.concatenate([sequences(words[k], length) for k in own])
+        order = np.argsort(mark, kind="stable")
+        table, first = np.unique(mark[order], return_index=True)
+        out.append((length, table, np.append(first, len(order)), [ids[own[k]] for k in order]))
+    return out
+
+
 def _matches(docs: DataFrame, seeds: Seeds, size: int, threshold: float, min_seeds: int) -> DataFrame:
     band = 16  # words that a diagonal may drift within one group of seeds
 
@@ -147,10 +163,15 @@ def _matches(docs: DataFrame, seeds: Seeds, size: int, threshold: float, min_see
             found = []
             ids = column(batch, "doc_id")
             for piece in split_words(column(batch, "text"), ALNUM, lower=True):
+                doc_of, place_of = piece.doc(), piece.place()
+                for length, table, first, owners in seeds.exact:
+                    at, which = _find(table, np.where(whole(piece, length), sequences(piece.word, length), 0))
+                    for a, w in zip(at.tolist(), which.tolist(), strict=True):
+                        doc_id, place = ids[int(piece.rows[doc_of[a]])].as_py(), int(place_of[a])
+                        found += [(doc_id, i, 1.0, place, place + length, 1) for i in owners[first[w] : first[w + 1]]]
                 at, which = _find(seeds.gram, np.where(whole(piece, size), sequences(piece.word, size), 0))
                 if not len(at):
                     continue
-                doc_of, place_of = piece.doc(), piece.place()
                 for at, entry in seeds.meetings(at, which, doc_of[at]):
                     doc, item = doc_of[at], seeds.item[entry]
                     shift = place_of[at] - seeds.place[entry]
@@ -210,13 +231,16 @@ def contaminated(
     parts = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        ids, words = _item_words(rows, min_words)
-        gram, item, place = _grams(words, size)
-        if not len(gram):
+        ids, words = _item_words(rows)
+        if not ids:
             continue
+        long = [len(w) >= max(min_words, size + min_seeds - 1) for w in words]
+        exact = _short(*([x for x, is_long in zip(v, long, strict=True) if not is_long] for v in (ids, words)))
+        ids, words = ([x for x, is_long in zip(v, long, strict=True) if is_long] for v in (ids, words))
+        gram, item, place = _grams(words, size)
         order = np.argsort(gram, kind="stable")
         unique, first = np.unique(gram[order], return_index=True)
-        seeds = Seeds(unique, np.append(first, len(order)), item[order], place[order], ids, words)
+        seeds = Seeds(unique, np.append(first, len(order)), item[order], place[order], ids, words, exact)
         parts.append(_matches(docs, seeds, size, threshold, min_seeds))
     if not parts:
         return spark.createDataFrame([], SCHEMA)

@@ -158,7 +158,7 @@ def test_meetings_in_parts_are_all_meetings(monkeypatch):
     gram, item, place = decontaminate._grams(words, 3)
     order = np.argsort(gram, kind="stable")
     unique, first = np.unique(gram[order], return_index=True)
-    seeds = decontaminate.Seeds(unique, np.append(first, len(order)), item[order], place[order], list(range(9)), words)
+    seeds = decontaminate.Seeds(unique, np.append(first, len(order)), item[order], place[order], list(range(9)), words, [])
     at = np.arange(200)
     which, doc = rng.integers(0, len(unique), 200), np.sort(rng.integers(0, 6, 200))
     want = sorted((a, e) for a in at for e in range(seeds.first[which[a]], seeds.first[which[a] + 1]))
@@ -171,3 +171,26 @@ def test_meetings_in_parts_are_all_meetings(monkeypatch):
             assert not own & pairs
             pairs |= own
         assert sorted(met) == want
+
+
+def test_short_items_are_found_whole(spark):
+    docs = {
+        1: "Ask: what is the capital of France? Then go on.",
+        2: "what is the capital of Spain",
+        3: "what is the capital of",
+        4: "France yes? France, Yes!",
+        5: "of France",
+        6: "one two three four five six seven eight nine ten",
+    }
+    df = table(spark, [(k, t, None) for k, t in docs.items()]).coalesce(1)
+    items = [
+        (1, "What is the capital of France?"), (2, "what is the capital of France"), (3, "yes"), (4, "?!"),
+        (5, "two three four five six seven eight nine"), (6, "one two three four five six seven"),
+    ]
+    bench = table(spark, items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in decontaminate.contaminated(df, bench).collect())
+    assert found == [
+        (1, 1, 1, 1, 7), (1, 2, 1, 1, 7), (4, 3, 1, 1, 2), (4, 3, 1, 3, 4), (6, 5, 1, 1, 9), (6, 6, 1, 0, 7),
+    ]
+    assert decontaminate.contaminated(df, bench.where("item_id = 4")).count() == 0
+    assert decontaminate.contaminated(df, bench.where("item_id = 3")).count() == 2

@@ -2,9 +2,10 @@
 
 A rolling hash over the fingerprints of two neighbouring lines chooses where a
 chunk ends, so that a passage inserted above does not shift the boundaries
-below. Chunks have at least two lines. Chunks whose fingerprint occurs again
-are compared byte by byte with the first of their kind, and equal ones are
-removed; the first stays.
+below. Chunks have at least two lines. A fingerprint covers the lines of a chunk
+and the line feeds between them, so each layout of the same lines has a first
+copy of its own. Chunks whose fingerprint occurs again are compared byte by byte
+with the first of their kind, and equal ones are removed; the first stays.
 
 Fingerprints alone are shuffled for all chunks; bytes only for those that
 repeat. Documents are brought together with their marks once.
@@ -72,15 +73,19 @@ def chunk_ends(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_marks(piece: Piece, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Fingerprint of each chunk's lines in order."""
+    """Fingerprint of each chunk's lines in order and of how many line feeds part them."""
     length = last - first
     if not len(first):
         return np.empty(0, dtype=np.uint64)
     offset = np.cumsum(length) - length
     step = np.arange(length.sum()) - np.repeat(offset, length)
+    line = np.repeat(first, length) + step
+    feeds = np.append(piece.start[1:], 0)[line] - piece.end[line]
+    feeds[offset + length - 1] = 0
     with np.errstate(over="ignore"):
         scale = mix(np.arange(1, MOST + 2, dtype=np.uint64)) | np.uint64(1)
-        return mix(np.add.reduceat(piece.word[np.repeat(first, length) + step] * scale[step], offset) + length.astype(np.uint64))
+        terms = (piece.word[line] + mix(feeds)) * scale[step]
+        return mix(np.add.reduceat(terms, offset) + length.astype(np.uint64))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:

@@ -153,3 +153,9 @@ def test_odd_rows_of_passages(odd, empty):
     spans = suffixes.repeated_passages(odd).collect()
     assert {s.doc_id for s in spans} == {1, 2, None, 7, 8}
     assert suffixes.repeated_passages(empty).collect() == []
+
+
+def test_each_layout_of_a_chunk_has_its_own_first_copy(spark):
+    docs = ["one line\nanother line", *["one line\n\nanother line"] * 3, "one line\nanother line", "one line\n\n\nanother line"]
+    rows = lines.remove_lines(table(spark, [(k, t, None) for k, t in enumerate(docs)])).collect()
+    assert [r.n_removed for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 0, 2, 2, 2, 0]

@@ -5,7 +5,9 @@ norm, which turns largest inner product into least distance, and a tree of
 k-means centres is built over a bounded sample (`sample` vectors, those with the
 smallest hash of their id). Every row is then assigned to a leaf. A query walks
 the tree with a priority queue: the nearest open node is taken, a leaf is
-visited, the children of an inner node join the queue. Leaves are visited in
+visited, the children of an inner node join the queue. A query goes on beyond its
+calibrated number of leaves until they hold `k` rows besides its own, as a leaf
+may hold few rows or one. Leaves are visited in
 rounds of growing length, and the scores found so far bound what later rounds
 send on. How many leaves a query visits is calibrated: for some queries the true neighbours are found by going
 through all rows, and visits are widened until the leaves met first hold
@@ -69,14 +71,16 @@ class Tree:
             open_ = open_[self.leaf[node[open_]] < 0]
         return self.leaf[node]
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a query meets, best bin first."""
+    def visit(self, query: np.ndarray, least: int, rows: np.ndarray | None = None, wanted: int = 0) -> list[int]:
+        """The leaves that a query meets, best bin first: `least`, and more until they hold `wanted` of `rows`."""
         lifted = np.append(query / np.linalg.norm(query), 0.0)
         queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        while queue and (len(out) < least or wanted > 0):
             _, n = heapq.heappop(queue)
             if self.leaf[n] >= 0:
                 out.append(int(self.leaf[n]))
+                if rows is not None:
+                    wanted -= int(rows[out[-1]])
                 continue
             kids = self.children[n]
             gap = self.centre[kids] - lifted
@@ -231,11 +235,15 @@ def search(
 
     rows = materialise(one.mapInArrow(assign, "vec_id long, x array<double>, is_query boolean, leaf long"))
     visits = calibrate(rows, tree, dim, k, recall, probes)
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for r in rows.groupBy("leaf").count().collect():
+        held[r["leaf"]] = r["count"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                seen = [tree.visit(v, visits) for v in _matrix(batch, "x", dim)]
+                # one row more than `k`, as the query's own may be among them
+                seen = [tree.visit(v, visits, held, k + 1) for v in _matrix(batch, "x", dim)]
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "vec_id"), column(batch, "x"), pa.array(seen, pa.list_(pa.int64()))],
                     ["query_id", "q", "leaves"],
@@ -260,9 +268,10 @@ def search(
 
     best = None
     low, high = 0, 1
-    while low < visits:
+    longest = asked.agg(F.max(F.size("leaves"))).first()[0] or visits
+    while low < longest:
         # leaves are visited in rounds; what has been found so far bounds what later ones send on
-        turn = asked.select("query_id", "q", F.slice("leaves", low + 1, min(high, visits) - low).alias("leaves"))
+        turn = asked.select("query_id", "q", F.slice("leaves", low + 1, min(high, longest) - low).alias("leaves"))
         if best is None:
             turn = turn.withColumn("least", F.lit(-np.inf))
         else:

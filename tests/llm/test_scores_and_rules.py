@@ -193,6 +193,18 @@ def test_neighbours_reach_their_recall_and_scores_are_exact(spark):
     assert hits >= 0.9 * 10 * 75
 
 
+def test_outliers_in_small_leaves_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(11)
+    x = np.tile(rng.normal(size=16), (600, 1))
+    x[:100:5] = 3 * rng.normal(size=(20, 16))  # outliers, each in a leaf of few rows
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.search(df, F.col("vec_id") % 20 == 0, leaf_rows=20).collect()
+    ranks = {q: sorted(r["rank"] for r in found if r.query_id == q) for q in range(0, 600, 20)}
+    assert all(r == list(range(1, 21)) for r in ranks.values())
+    assert len({(r.query_id, r.vec_id) for r in found}) == len(found) and all(r.query_id != r.vec_id for r in found)
+
+
 def test_odd_vectors(spark):
     rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
             (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0])]

@@ -18,7 +18,10 @@ centers, the least and the greatest in a random order, so the number of
 comparisons grows with the members of a bucket and not with their pairs. Each
 comparison is exact, on the multisets themselves. Further rounds draw other
 centers for the buckets that still hold several groups, until a round finds no
-link. Links join groups; a group is named after its least document.
+link or `rounds` are over. Members of the buckets that hold several groups even
+then are joined exactly: two multisets that are similar enough share an element
+among the rarest of both, so all such pairs of different groups are compared.
+Links join groups; a group is named after its least document.
 
 Words are runs of bytes other than ASCII white space, unchanged. Fewer than five
 words form one shingle. Defined results: documents without words are nobody's
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from relief.llm.common import (
     KEY,
@@ -214,6 +218,59 @@ def _centers(buckets: DataFrame, turn: int, similarity: float) -> DataFrame:
     return pairs.select(F.least("v", "c.v").alias("x"), F.greatest("v", "c.v").alias("y")).distinct()
 
 
+def _elements(sets: DataFrame) -> DataFrame:
+    """(v, size, root, token): every element of a multiset, repeats told apart."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [long_values(batch, c) for c in ("v", "size", "root")]
+            for k, data in enumerate(column(batch, "marks")):
+                mark = np.frombuffer(data.as_buffer(), np.uint32)
+                again = np.arange(len(mark)) - np.searchsorted(mark, mark)
+                token = mark.astype(np.uint64) << np.uint64(32) | again.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(mark), o[k])) for o in others), pa.array(signed(token))],
+                    ["v", "size", "root", "token"],
+                )
+
+    return sets.select("v", "size", "root", "marks").mapInArrow(cut, "v long, size long, root long, token long")
+
+
+def _unsettled(buckets: DataFrame) -> DataFrame:
+    """(v, size, root): members of the buckets that hold several groups."""
+    mixed = buckets.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    return buckets.join(materialise(mixed.select("bucket")), "bucket").select("v", "size", "root").distinct()
+
+
+def _close_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (x, y), x < y, of different groups that may be that similar.
+
+    Elements are ordered by how many members hold them. Similar multisets x and
+    y, x not the larger, share at least `similarity` of y and twice that over one
+    plus it of x; so they share an element among as many of their rarest as the
+    rest leaves, and one.
+    """
+    elements = materialise(_elements(sets.join(members, "v")))
+    held = materialise(elements.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("n", "token"))
+
+    def rarest(share: float):
+        return F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
+
+    rare = elements.join(held, "token").withColumn("rank", rank).where(F.col("rank") <= rarest(similarity))
+    # an element of a single member meets nothing
+    rare = materialise(rare.where("n > 1"))
+    # partners are looked up by group, so that members of one large group never meet each other
+    groups = materialise(rare.select("token", F.col("root").alias("other")).distinct())
+    left = rare.where(F.col("rank") <= rarest(2 * similarity / (1 + similarity)))
+    left = left.join(groups, "token").where("root <> other").select("token", "other", F.col("v").alias("a"), F.col("size").alias("m"))
+    left = materialise(left)
+    right = rare.select("token", F.col("root").alias("other"), F.col("v").alias("b"), "size")
+    met = left.join(right, ["token", "other"]).where("(m < size or m = size and a < b)")
+    met = met.where(F.col("m") >= similarity * F.col("size"))
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """Group documents: (_id, _th, group_id, group_th, group_size, links).
 
@@ -246,8 +303,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
                 break
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        edges = links.select(F.lit("").alias("scene_id"), F.col("x").alias("a"), F.col("y").alias("b"))
-        groups = contract(edges).select(F.col("root").alias("v"), "target")
+        groups = _groups(links)
+    members = materialise(_unsettled(_regrouped(buckets, groups)))
+    if not members.isEmpty():
+        pairs = materialise(_close_pairs(members, sets, similarity).join(tried, ["x", "y"], "left_anti"))
+        found = materialise(_links(pairs, sets, similarity))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = _groups(links)
     degree = links.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
     named = (
         classes.select("a", "b", "size", "v", "m")
@@ -264,6 +327,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
     )
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    edges = links.select(F.lit("").alias("scene_id"), F.col("x").alias("a"), F.col("y").alias("b"))
+    return contract(edges).select(F.col("root").alias("v"), "target")
+
+
 def _regrouped(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     moved = buckets.drop("root").join(groups, "v", "left")
     return moved.select("bucket", "v", "size", F.coalesce("target", "v").alias("root"))

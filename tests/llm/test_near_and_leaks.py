@@ -57,6 +57,20 @@ def test_groups_match_all_pairs(spark):
     assert {r.doc_id for r in left.collect()} == set(group.values()) and left.columns == df.columns
 
 
+def test_pairs_within_a_family_of_almost_similar_texts_are_linked(spark):
+    template = prose(70, 351, 5000)
+    docs, want = {}, {}
+    for k in range(150):  # any two are 0.78 alike
+        pair = k // 2 if k < 60 else None  # and these pairs 0.804
+        shared = [f"pair{pair}x{i}" for i in range(6)] if pair is not None else []
+        docs[k] = " ".join(template + shared + [f"own{k}x{i}" for i in range(49 - len(shared))])
+        want[k] = k - k % 2 if pair is not None else k
+    counts = [shingle_counts(docs[k]) for k in (0, 1, 2)]
+    assert weighted_jaccard(counts[0], counts[1]) >= 0.8 > weighted_jaccard(counts[0], counts[2]) > 0.77
+    df = table(spark, [(k, t, None) for k, t in docs.items()]).repartition(4)
+    assert {r.doc_id: r.group_id for r in bagminhash.groups_of(df).collect()} == want
+
+
 def test_odd_rows_of_near_dedup(odd, empty):
     rows = bagminhash.groups_of(odd).collect()
     assert len(rows) == odd.count()

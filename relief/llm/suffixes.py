@@ -1,13 +1,12 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes, with fingerprints in place of a sorted array.
 
 A suffix of a document is retained only where a minimiser starts: in every
 `passage` consecutive words, the eight-word sequence with the least fingerprint.
 The choice depends on content alone, so two copies of a passage retain the same
-suffixes whatever surrounds them. Retained suffixes are sorted by their leading
-words, and neighbours that agree there are compared further: from each of them
-the match is extended to the left and to the right, by comparing all stretches
-of `passage` words that the suffix is the minimiser of. Stretches that agree are
-joined into maximal spans.
+suffixes whatever surrounds them. Retained suffixes are not sorted: those whose
+eight leading words have equal fingerprints are found by grouping, and then the
+fingerprints of all stretches of `passage` words that such a suffix is the
+minimiser of are compared. Stretches that agree are joined into maximal spans.
 
 Defined results: null, empty and short texts hold no passage; passages within
 one document count; a missing id sorts last and is returned as null; rows that
@@ -27,7 +26,7 @@ from relief.llm.common import KEY, NO_ID, Piece, column, keyed, long_values, seq
 from relief.llm.repeats import repeated_sequences, shared_anchors
 
 PASSAGE = 50
-LEAD = 8  # words that neighbouring suffixes must share before they are extended
+LEAD = 8  # words that suffixes must share before the stretches around them are compared
 
 
 def _least_within(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,7 +65,7 @@ def suffix_fingerprints(passage: int):
 
 
 def extended(passage: int):
-    """Passages whose retained suffix has a neighbour with the same leading words."""
+    """Passages whose retained suffix shares its leading words with another."""
 
     def reach(piece: Piece, marked: np.ndarray) -> np.ndarray:
         _, start, suffix = minimisers(piece, passage)

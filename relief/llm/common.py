@@ -219,3 +219,64 @@ def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
 def restored(docs: DataFrame, names: dict[str, str], *added: str) -> DataFrame:
     """The renamed columns under their own names, then those that were added."""
     return docs.select(*(F.col(n).alias(c) for n, c in names.items() if c not in added), *added)
+
+
+# bytes of text whose words are brought together at once
+WORDS_BYTES = 1 << 22
+
+
+def letters_of(pattern_bytes) -> np.ndarray:
+    """A table of word bytes from a test of one byte."""
+    return _table(pattern_bytes)
+
+
+def packed(buffer: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Byte ranges that follow each other as a binary column."""
+    at = np.ascontiguousarray(offsets, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buffer))])
+
+
+def word_values(
+    column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False, limit: int = WORDS_BYTES
+) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(rows, words, counts) of runs of documents: their words as binary values, and how many each row has."""
+    data, at = text_bytes(column)
+    for low, high in runs(at, limit):
+        buffer = data[at[low] : at[high]]
+        edge = at[low : high + 1] - at[low]
+        inside = kind[buffer]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        cut = edge[1:-1]
+        cut = cut[cut < len(buffer)]
+        first[cut] = inside[cut]
+        start = np.flatnonzero(first)
+        small = buffer[inside]
+        offsets = np.append(np.cumsum(inside, dtype=np.int64)[start] - 1, len(small))
+        yield np.arange(low, high), packed(_LOWER[small] if lower else small, offsets), np.diff(np.searchsorted(start, edge))
+
+
+def distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values of a column and, for each row, which of them it is."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over consecutive runs of the given lengths; empty runs give 0."""
+    out = np.zeros(len(counts), dtype=values.dtype)
+    have = np.flatnonzero(counts > 0)
+    if len(have):
+        out[have] = np.add.reduceat(values, (np.cumsum(counts) - counts)[have])
+    return out
+
+
+def expand(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... for counts[0] places, then the same for the next."""
+    begin = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(first - begin, counts)
+
+
+def crc_remainder(doc_id: str, by: int):
+    """crc32 of an id as text, modulo `by`; null for a missing id."""
+    return F.crc32(F.col(doc_id).cast("string")) % by

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relief.llm import (
+    alignment,
     bagminhash,
     decontaminate,
+    divergence,
+    lattice,
     licenses,
     lines,
     mixing,
@@ -110,3 +113,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every vector whose id is divisible by 20."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_subword_lattice")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every whole text over all its segmentations, beside smoothed word counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.score_texts(docs, keep_text=False)
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers that cover the same bytes of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_texts(docs, keep_text=False)
+
+
+@query("op13_source_divergence", sql.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the term shares of each source lie from those of its language and of other sources."""
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -201,3 +201,48 @@ sums AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN sums s USING (doc_id)
 """
+
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+words AS (SELECT k, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+langs AS (
+  SELECT lang, coalesce(v, 0)::HUGEINT AS v, coalesce(n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang) USING (lang)
+),
+held AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT lang, source, v, coalesce(n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) JOIN (SELECT lang, v FROM langs) USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM held GROUP BY lang, source) USING (lang, source)
+),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN held h USING (lang, source, term)
+),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (total + 1)) // (n + v) AS q FROM kept JOIN langs USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+terms AS (
+  SELECT s.lang, source, s.term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+  FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE c > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -14,14 +14,16 @@ the number of components.
 
 Documents with equal multisets form one class at once. Classes meet where a
 band of components agrees; in each such bucket members are compared with two
-centers, the least and the greatest in a random order, so the number of
-comparisons grows with the members of a bucket and not with their pairs. Each
-comparison is exact, on the multisets themselves. Further rounds draw other
-centers for the buckets that still hold several groups, until a round finds no
-link or `rounds` are over. Members of the buckets that hold several groups even
-then are joined exactly: two multisets that are similar enough share an element
-among the rarest of both, so all such pairs of different groups are compared.
-Links join groups; a group is named after its least document.
+centers, so the number of comparisons grows with the members of a bucket and not
+with their pairs. The first center is the member that meets most others in all
+its buckets, which in a family of copies is the text they were made from; the
+second and those of later rounds are drawn. Each comparison is exact, on the
+multisets of 32-bit marks of shingles. Rounds go on for buckets that still hold
+several groups, until one finds no link or `rounds` are over. Members of the
+buckets that hold several groups even then are joined exactly: two multisets
+that are similar enough share an element among the rarest of both, so all such
+pairs of different groups are found. Links join groups; a group is named after
+its least document.
 
 Words are runs of bytes other than ASCII white space, unchanged. Fewer than five
 words form one shingle. Defined results: documents without words are nobody's
@@ -64,6 +66,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 ROUNDS = 4
+PARITIES = 512
+LARGE = 64  # members of an unsettled group that has its partners looked up by group
 
 
 def shingles(piece: Piece, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,10 +208,11 @@ def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _centers(buckets: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Members of buckets beside two centers of another group: pairs (x, y), x < y."""
-    order = F.col("v") if turn == 0 else F.xxhash64("v", F.lit(turn))
+    # first the member that meets most others in its buckets: in a family of copies that is the one they were made from
+    first = F.col("met") if turn == 0 else F.xxhash64("v", F.lit(turn))
     ends = buckets.groupBy("bucket").agg(
-        F.min(F.struct(order.alias("o"), "v", "size", "root")).alias("p"),
-        F.max(F.struct(order.alias("o"), "v", "size", "root")).alias("q"),
+        F.max(F.struct(first.alias("o"), "v", "size", "root")).alias("p"),
+        F.min(F.struct(F.xxhash64("v", F.lit(-turn - 1)).alias("o"), "v", "size", "root")).alias("q"),
         F.min("root").alias("r"),
         F.max("root").alias("s"),
     )
@@ -218,22 +223,36 @@ def _centers(buckets: DataFrame, turn: int, similarity: float) -> DataFrame:
     return pairs.select(F.least("v", "c.v").alias("x"), F.greatest("v", "c.v").alias("y")).distinct()
 
 
+def parity(token: np.ndarray) -> np.ndarray:
+    """One bit for each of 512 classes of elements: whether an odd number falls into it.
+
+    Sets whose bits differ in d classes differ in d elements at least.
+    """
+    odd = np.bincount((mix(token) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _elements(sets: DataFrame) -> DataFrame:
-    """(v, size, root, token): every element of a multiset, repeats told apart."""
+    """(v, size, root, tokens, bits): all elements of a multiset, repeats told apart, and their parity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            others = [long_values(batch, c) for c in ("v", "size", "root")]
             for k, data in enumerate(column(batch, "marks")):
                 mark = np.frombuffer(data.as_buffer(), np.uint32)
                 again = np.arange(len(mark)) - np.searchsorted(mark, mark)
                 token = mark.astype(np.uint64) << np.uint64(32) | again.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(len(mark), o[k])) for o in others), pa.array(signed(token))],
-                    ["v", "size", "root", "token"],
+                    [
+                        *(column(batch, c).slice(k, 1) for c in ("v", "size", "root", "tag")),
+                        lists(signed(token), np.array([len(token)])),
+                        lists(parity(token), np.array([PARITIES // 64])),
+                    ],
+                    ["v", "size", "root", "tag", "tokens", "bits"],
                 )
 
-    return sets.select("v", "size", "root", "marks").mapInArrow(cut, "v long, size long, root long, token long")
+    return sets.select("v", "size", "root", "tag", "marks").mapInArrow(
+        cut, "v long, size long, root long, tag long, tokens array<long>, bits array<long>"
+    )
 
 
 def _unsettled(buckets: DataFrame) -> DataFrame:
@@ -248,26 +267,48 @@ def _close_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     Elements are ordered by how many members hold them. Similar multisets x and
     y, x not the larger, share at least `similarity` of y and twice that over one
     plus it of x; so they share an element among as many of their rarest as the
-    rest leaves, and one.
+    rest leaves, and one. At the first such element there must be enough left of
+    both, and their parities may not differ in more classes than similar sets
+    have elements apart: what is not similar hardly leaves the join.
     """
-    elements = materialise(_elements(sets.join(members, "v")))
-    held = materialise(elements.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("n", "token"))
+    # partners are looked up by large group, so that members of one never meet each other; small ones are one lot
+    many = members.groupBy("root").count().where(F.col("count") >= LARGE).select("root", F.col("root").alias("tag"))
+    tagged = members.join(materialise(many), "root", "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
+    whole = materialise(_elements(sets.join(tagged, "v")))
+    elements = whole.select("v", "size", "root", "tag", F.explode("tokens").alias("token"))
+    held = materialise(elements.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    share = (1 - similarity) / (1 + similarity)
 
     def rarest(share: float):
         return F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
 
-    rare = elements.join(held, "token").withColumn("rank", rank).where(F.col("rank") <= rarest(similarity))
-    # an element of a single member meets nothing
-    rare = materialise(rare.where("n > 1"))
-    # partners are looked up by group, so that members of one large group never meet each other
-    groups = materialise(rare.select("token", F.col("root").alias("other")).distinct())
+    # elements of a single member meet nothing, but they come first in the order
+    alone = elements.join(held, "token", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("n", "token"))
+    rare = alone.withColumn("rank", rank).where((F.col("rank") <= rarest(similarity)) & (F.col("n") > 1))
+    rare = materialise(rare.join(whole.select("v", "bits"), "v"))
+    groups = materialise(rare.select("token", F.col("tag").alias("other")).distinct())
     left = rare.where(F.col("rank") <= rarest(2 * similarity / (1 + similarity)))
-    left = left.join(groups, "token").where("root <> other").select("token", "other", F.col("v").alias("a"), F.col("size").alias("m"))
+    left = left.join(groups, "token").where("tag <> other or tag = 0").select(
+        "token", "other", F.col("v").alias("a"), F.col("size").alias("m"), F.col("root").alias("mine"),
+        F.col("rank").alias("i"), F.col("bits").alias("x"),
+    )
     left = materialise(left)
-    right = rare.select("token", F.col("root").alias("other"), F.col("v").alias("b"), "size")
-    met = left.join(right, ["token", "other"]).where("(m < size or m = size and a < b)")
-    met = met.where(F.col("m") >= similarity * F.col("size"))
+    right = rare.select("token", F.col("tag").alias("other"), F.col("v").alias("b"), "size", "root", F.col("rank").alias("j"), "bits")
+    size, m = F.col("size"), F.col("m")
+    needed = F.ceil((m + size) * (similarity / (1 + similarity)) - 1e-6)
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    same = left.withColumnRenamed("token", "t").withColumnRenamed("other", "o")
+    met = same.join(
+        right,
+        (F.col("t") == F.col("token"))
+        & (F.col("o") == F.col("other"))
+        & (F.col("mine") != F.col("root"))
+        & ((m < size) | ((m == size) & (F.col("a") < F.col("b"))))
+        & (m >= F.lit(similarity) * size)
+        & (F.least(m - F.col("i"), size - F.col("j")) + 1 >= needed)
+        & (apart <= (m + size) * share + 1e-6),
+    )
     return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
@@ -287,8 +328,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
     buckets = classes.select("v", "size", F.posexplode("bands")).select(
         F.xxhash64("pos", "col").alias("bucket"), "v", "size", F.col("v").alias("root")
     )
-    shared = materialise(buckets.groupBy("bucket").count().where("count > 1").select("bucket"))
+    shared = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     buckets = materialise(buckets.join(shared, "bucket"))
+    met = buckets.groupBy("v").agg(F.sum("members").alias("met"))
+    buckets = materialise(buckets.drop("members").join(met, "v").select("bucket", "v", "size", "root", "met"))
     members = classes.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "m.*")
     sets = materialise(_multisets(docs.dropDuplicates(KEY).join(members, KEY) if _repeats(docs) else docs.join(members, KEY)))
     tried = links = groups = None
@@ -334,7 +377,7 @@ def _groups(links: DataFrame) -> DataFrame:
 
 def _regrouped(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     moved = buckets.drop("root").join(groups, "v", "left")
-    return moved.select("bucket", "v", "size", F.coalesce("target", "v").alias("root"))
+    return moved.select("bucket", "v", "size", F.coalesce("target", "v").alias("root"), "met")
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -99,6 +99,16 @@ def runs(at: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of batches that hold about `limit` bytes of text, never less than a row."""
+    for batch in batches:
+        _, at = text_bytes(column(batch, text))
+        for low, high in runs(at, limit):
+            yield batch.slice(low, high - low)
+    # workers live on: what earlier batches took goes back
+    pa.default_memory_pool().release_unused()
+
+
 def split_words(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False, seed: int = 1) -> Iterator[Piece]:
     """Cut texts into words of the given kind of bytes, piece by piece."""
     data, at = text_bytes(column)

@@ -38,6 +38,7 @@ from relief.llm.common import (
     mix,
     restored,
     signed,
+    slices,
     split_words,
 )
 from relief.session import materialise
@@ -114,7 +115,7 @@ def _bytes(marked: DataFrame) -> DataFrame:
     """Bytes of the chunks that start at the marked lines: (_k, _id, _th, line, first, bytes)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             marks = column(batch, "marks")
             columns: list[list] = [[] for _ in range(6)]
             for piece in split_words(column(batch, "text"), LINES):
@@ -172,7 +173,7 @@ def remove_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     others = ["doc_id", *others]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             texts, lines = column(batch, "_text"), column(batch, "lines")
             kept = texts.to_pylist()
             n_lines, n_removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

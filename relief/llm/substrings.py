@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import KEY, NO_ID, SPACED, Piece, aside, column, keyed, restored, sequences, split_words, whole
+from relief.llm.common import KEY, NO_ID, SPACED, Piece, aside, column, keyed, restored, sequences, slices, split_words, whole
 from relief.llm.repeats import repeated_sequences, shared_anchors
 
 WINDOW = 20
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True)
     others = ["doc_id", *others]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             texts, runs = column(batch, "_text"), column(batch, "runs")
             n_words = np.zeros(len(texts), dtype=np.int64)
             n_removed = np.zeros(len(texts), dtype=np.int64)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relief.llm.common import ALNUM, aside, column, lists, long_values, restored, split_words
+from relief.llm.common import ALNUM, aside, column, lists, long_values, restored, slices, split_words
 
 # fixed values: sets of words that name groups of people; members are swapped in turn
 IDENTITY_SETS = (
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             value = 1 / (1 + np.exp(-model.log_odds(column(batch, "text"))))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))],

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ramp
+from grids import ramp
 from relief.plans import demo
 from relief.plans.analyze import Inputs, Settings, analyze_scenes, calibrate_scenes
 from relief.streaming import intake

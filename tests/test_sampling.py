@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ramp
+from grids import ramp
 from relief.operators import align, mesh, sample
 from relief.operators.grid import extent
 from relief.sources import gcps as gcp_source
@@ -14,11 +14,11 @@ from relief.sources import rasters
 
 
 def test_csv_points_and_bilinear_samples(spark, grid, tmp_path):
-    (tmp_path / "a.csv").write_text("﻿col, Row,height\n0.5,0.5,10\n\n2,0,20\n0,2,30\n")
+    (tmp_path / "a.csv").write_text("﻿col, ROW,Height\n1.25,0.5,4\n3,2,-6\n\n0,1.75,8.5\n")
     points = gcp_source.read_gcp_csv(spark, str(tmp_path))
     assert {r["error"] for r in points.collect()} == {None}
-    taken = sample.sample_points(points, grid(depth=np.arange(9.0).reshape(3, 3)))
-    assert [r["sampled"] for r in taken.orderBy("idx").collect()] == [2, 2, 6]
+    taken = sample.sample_points(points, grid(depth=(10 * np.arange(12.0)).reshape(3, 4)))
+    assert [r["sampled"] for r in taken.orderBy("idx").collect()] == [32.5, 110, 70]
 
 
 def test_csv_files_may_differ_in_header_and_quote_fields(spark, tmp_path):
@@ -34,7 +34,7 @@ def test_json_points(spark, tmp_path):
     good = {"coordinate_space": "pixel", "points": [{"pixel_x": 1, "pixel_y": 2, "z": 3.5}]}
     (tmp_path / "good.json").write_text(json.dumps(good))
     (tmp_path / "list.json").write_text(json.dumps([{"x": "1", "y": 2, "elevation": True}]))
-    (tmp_path / "map.json").write_text(json.dumps({"coordinate_space": "map", "points": [{"x": 1, "y": 2, "z": 3}]}))
+    (tmp_path / "map.json").write_text(json.dumps({"coordinate_space": "world", "points": [{"x": 7.5, "y": 0, "z": 1}]}))
     (tmp_path / "none.json").write_text(json.dumps({"a": 1}))
     got = {r["scene_id"]: r for r in gcp_source.read_gcp_json(spark, str(tmp_path)).collect()}
     assert (got["good"]["x"], got["good"]["elevation"], got["good"]["error"]) == (1, 3.5, None)
@@ -85,9 +85,9 @@ def _header(spark, width, height, crs=None, transform=None):
 
 
 def test_resize_keeps_the_masked_corner_and_says_so(spark, grid, array):
-    valid = np.ones((4, 6), dtype=bool)
+    valid = np.ones((5, 7), dtype=bool)
     valid[0, 0] = False
-    values = np.arange(24, dtype=np.float32).reshape(4, 6)
+    values = np.arange(35, dtype=np.float32).reshape(5, 7)
     out, modes = align.align_elevation(
         grid(value=values, valid=valid), _header(spark, 6, 4), _header(spark, 12, 8)
     )

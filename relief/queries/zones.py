@@ -158,6 +158,26 @@ def outline_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.region_outlines(labelled(spark, sf_dir))
 
 
+@query(
+    "outline_rings",
+    f"""{WITH_LABELS}, sides(d, dr, dc, px, py, qx, qy) AS (VALUES (0, -1, 0, 0, 0, 1, 0), (1, 0, 1, 1, 0, 1, 1), (2, 1, 0, 1, 1, 0, 1), (3, 0, -1, 0, 1, 0, 0)),
+     e AS (SELECT l.scene_id, l.label, d, l.col + px AS x0, l."row" + py AS y0, l.col + qx AS x1, l."row" + qy AS y1
+      FROM labels l CROSS JOIN sides LEFT JOIN labels o ON o.scene_id = l.scene_id AND o.label = l.label AND o."row" = l."row" + dr AND o.col = l.col + dc
+      WHERE o.label IS NULL),
+     f AS (SELECT a.*, b.d AS next FROM e a JOIN e b ON b.scene_id = a.scene_id AND b.label = a.label AND b.x0 = a.x1 AND b.y0 = a.y1
+      QUALIFY row_number() OVER (PARTITION BY a.scene_id, a.label, a.x0, a.y0, a.d ORDER BY CAST(b.d = (a.d + 1) % 4 AS INTEGER) DESC) = 1),
+     start AS (SELECT scene_id, label, min(y0 * 100000 + x0) AS spot FROM e GROUP BY ALL),
+     walk AS (SELECT f.*, 0 AS k, 3 AS came, spot FROM f JOIN start b ON f.scene_id = b.scene_id AND f.label = b.label AND y0 * 100000 + x0 = spot
+      UNION ALL SELECT f.*, k + 1, w.d, spot FROM walk w JOIN f ON f.scene_id = w.scene_id AND f.label = w.label AND f.x0 = w.x1 AND f.y0 = w.y1 AND f.d = w.next
+      WHERE f.y0 * 100000 + f.x0 <> spot)
+    SELECT scene_id, label, row_number() OVER (PARTITION BY scene_id, label ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY scene_id, label) AS n,
+     CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y FROM walk WHERE d <> came""",
+)
+def outline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of every region's outer boundary, clockwise from its topmost-left one."""
+    return outlines.exterior_corners(labelled(spark, sf_dir))
+
+
 @query(
     "outline_edges",
     f"""{WITH_LABELS}, sides AS (SELECT l.scene_id, l.label, count(*) * 4 AS total FROM labels l GROUP BY ALL),

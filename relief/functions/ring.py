@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from relief.functions.core import as_col
+from relief.functions.core import EPS64, as_col
 
 OSM_GAP = 1e-5
 RING_GAP = 1e-9
@@ -57,20 +57,26 @@ def tidy_ring(points: Column | str, gap: float = OSM_GAP, open_above: int = 1) -
     return F.when(F.size(ring) >= 3, ring)
 
 
-def contains(points: Column | str, u: Column, v: Column) -> Column:
-    """Even-odd test of a point against a ring."""
+def ring_edges(points: Column | str) -> Column:
+    """Edges of a ring, each with what the even-odd test asks of it."""
     points = as_col(points)
     before = F.concat(F.slice(points, -1, 1), F.slice(points, 1, F.size(points) - 1))
-    crossings = F.zip_with(
+    rise = lambda p, q: F.when(q["v"] == p["v"], EPS64).otherwise(q["v"] - p["v"])
+    return F.zip_with(
         points,
         before,
-        lambda p, q: F.when(
-            ((p["v"] > v) != (q["v"] > v))
-            & (u < (q["u"] - p["u"]) * (v - p["v"]) / F.when(q["v"] == p["v"], 2.220446049250313e-16).otherwise(q["v"] - p["v"]) + p["u"]),
-            F.lit(1),
-        ).otherwise(F.lit(0)),
+        lambda p, q: F.struct(
+            p["u"].alias("u"), p["v"].alias("v"), q["v"].alias("w"), (q["u"] - p["u"]).alias("run"), rise(p, q).alias("rise")
+        ),
     )
-    return F.aggregate(crossings, F.lit(0), lambda acc, c: acc + c) % 2 == 1
+
+
+def crosses(edges: Column | str, u: Column, v: Column) -> Column:
+    """Even-odd test of a point against the edges of a ring."""
+    hit = F.filter(
+        as_col(edges), lambda e: ((e["v"] > v) != (e["w"] > v)) & (u < e["run"] * (v - e["v"]) / e["rise"] + e["u"])
+    )
+    return F.size(hit) % 2 == 1
 
 
 def level_count(text: Column | str) -> Column:

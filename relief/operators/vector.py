@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relief.functions.core import clamp, dbl, is_finite
 from relief.functions.projection import map_to_unit, reproject_point
-from relief.functions.ring import OSM_GAP, contains, level_count, tidy_ring
+from relief.functions.ring import OSM_GAP, crosses, level_count, ring_edges, tidy_ring
+from relief.operators.quadtree import box_cells, levels_of, point_cells
 from relief.operators.stats import range_stats
 from relief.session import materialise
 
@@ -21,7 +22,6 @@ MIN_RELIEF = 1e-4
 FLAT_LEVELS = 1.5
 ENOUGH = 10
 CELL_SIDE = 64
-UNIT_CELLS = 64
 FOOTPRINT = ("scene_id", "osm_id")
 
 
@@ -219,28 +219,23 @@ def choose_footprints(osm: DataFrame, segmented: DataFrame, enough: int = ENOUGH
 def highest_roof(points: DataFrame, footprints: DataFrame, roof: str, point_id: list[str]) -> DataFrame:
     """The highest roof over each point, for points inside some footprint.
 
-    Points and footprint boxes meet on cells of the unit square. `footprints`
-    has points and the named roof column.
+    Points and footprint boxes meet on quadtree cells of the unit square, each
+    box on the level of its own size. `footprints` has points and the named roof
+    column; a ring's edges are prepared once and not for each point.
     """
-    def cell(axis: Column) -> Column:
-        return F.floor(axis * UNIT_CELLS).cast("int")
-
     rings = footprints.select("scene_id", F.col("points").alias("_ring"), F.col(roof).alias("_roof"))
     for axis in ("u", "v"):
         values = F.col(f"_ring.{axis}")
-        rings = rings.withColumn(f"_{axis}0", F.array_min(values)).withColumn(f"_{axis}1", F.array_max(values))
-    for axis in ("u", "v"):
-        rings = rings.withColumn(
-            f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}0")), cell(F.col(f"_{axis}1"))))
-        )
+        rings = rings.withColumns({f"_{axis}0": F.array_min(values), f"_{axis}1": F.array_max(values)})
+    rings = rings.withColumn("_edges", ring_edges("_ring")).drop("_ring")
+    boxes = materialise(box_cells(rings, "_u0", "_v0", "_u1", "_v1"))
     # the ring test is the work here, so points are spread by cell before it
-    placed = points.select(
-        *point_id, "u", "v", cell(F.col("u")).alias("_cu"), cell(F.col("v")).alias("_cv")
-    ).repartition("scene_id", "_cu", "_cv")
+    placed = point_cells(points.select(*point_id, "u", "v"), "u", "v", levels_of(boxes)).repartition("scene_id", "_level", "_z")
     boxed = F.col("u").between(F.col("_u0"), F.col("_u1")) & F.col("v").between(F.col("_v0"), F.col("_v1"))
     return (
-        placed.join(rings, ["scene_id", "_cu", "_cv"])
-        .where(boxed & contains("_ring", F.col("u"), F.col("v")))
+        placed.join(boxes, ["scene_id", "_level", "_z"])
+        .where(boxed)
+        .where(crosses("_edges", F.col("u"), F.col("v")))
         .groupBy(*point_id)
         .agg(F.max("_roof").alias("roof"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from relief.functions.projection import forward, reproject_point
+from relief.operators.quadtree import overlapping
 
 _ELEMENT = T.StructType(
     [
@@ -81,26 +82,26 @@ def scene_boxes(scenes: DataFrame) -> DataFrame:
     return boxes.where("min_lon IS NOT NULL AND min_lat IS NOT NULL")
 
 
-def ways_in_scenes(bounds: DataFrame, scenes: DataFrame, cell: float = 0.01) -> DataFrame:
+def ways_in_scenes(bounds: DataFrame, scenes: DataFrame) -> DataFrame:
     """(scene_id, way_id) pairs whose boxes overlap.
 
-    Both sides are laid on cells of `cell` degrees and joined on the cell. A pair
-    is emitted only in the cell of the overlap's lower corner, so it appears once
-    without a later distinct.
+    Boxes meet on quadtree cells of the globe, each on the level of its own
+    size, so that a vast scene is a few rows and a dense town spreads. The
+    overlap itself is tested in degrees.
     """
 
-    def cells(df: DataFrame, prefix: str) -> DataFrame:
-        for axis in ("lon", "lat"):
-            first = F.floor(F.col(f"{prefix}min_{axis}") / cell)
-            last = F.floor(F.col(f"{prefix}max_{axis}") / cell)
-            df = df.withColumn(f"_{axis}", F.explode(F.sequence(first, last)))
-        return df
-
-    pairs = cells(bounds, "w_").join(cells(scenes, ""), ["_lon", "_lat"])
-    low_lon, low_lat = F.greatest("w_min_lon", "min_lon"), F.greatest("w_min_lat", "min_lat")
-    overlap = (low_lon <= F.least("w_max_lon", "max_lon")) & (low_lat <= F.least("w_max_lat", "max_lat"))
-    here = (F.floor(low_lon / cell) == F.col("_lon")) & (F.floor(low_lat / cell) == F.col("_lat"))
-    return pairs.where(overlap & here).select("scene_id", "way_id")
+    def on_unit(df: DataFrame, prefix: str, names: list[str]) -> DataFrame:
+        spans = [(f"{prefix}{end}_{axis}", half) for end in ("min", "max") for axis, half in (("lon", 180.0), ("lat", 90.0))]
+        return df.withColumns({n: (F.col(c) + half) / (2 * half) for n, (c, half) in zip(names, spans, strict=True)})
+
+    of_way, of_scene = ([f"_{side}{k}" for k in range(4)] for side in ("w", "s"))
+    pairs = overlapping(
+        on_unit(bounds, "w_", of_way), on_unit(scenes, "", of_scene), of_way, of_scene, ["way_id"], ["scene_id"], []
+    )
+    overlap = (F.greatest("w_min_lon", "min_lon") <= F.least("w_max_lon", "max_lon")) & (
+        F.greatest("w_min_lat", "min_lat") <= F.least("w_max_lat", "max_lat")
+    )
+    return pairs.where(overlap).select("scene_id", "way_id")
 
 
 __all__ = [

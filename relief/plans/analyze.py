@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relief.functions import text
-from relief.functions.core import dbl, is_finite
+from relief.functions.core import dbl, half_even, is_finite
 from relief.functions.pixel import decoded_size_problem, preview_unit
 from relief.functions.projection import pixel_size, pixel_size_problem, scene_centre
 from relief.functions.solar import solar_position
@@ -15,7 +15,7 @@ from relief.operators import align, calibrate, diffuse, evaluate, focal, mesh, o
 from relief.operators.grid import attach, extent
 from relief.operators.stats import exact_percentiles, range_stats
 from relief.session import materialise
-from relief import sinks
+from relief import sinks, stores
 from relief.sources import gcps as gcp_source, osm
 
 CELL = ["scene_id", "row", "col"]
@@ -95,7 +95,9 @@ class Inputs:
     given, acquisition_time, gcp_sampling and quality_mode texts.
     pixels: scene_id, row, col, r, g, b, valid. depth: scene_id, row, col, depth.
     truth, dem: (cells, headers) pairs. gcps: points with scene_id, idx, x, y,
-    elevation. nodes, ways, way_scenes: map buildings.
+    elevation. nodes, ways, way_scenes: map buildings. map_store: a folder that
+    keeps the rings of each scene's area; areas found there are not built again.
+    device: where the estimator runs, by default what it says itself.
     """
 
     scenes: DataFrame
@@ -109,6 +111,8 @@ class Inputs:
     nodes: DataFrame | None = None
     ways: DataFrame | None = None
     way_scenes: DataFrame | None = None
+    map_store: str | None = None
+    device: str | None = None
 
 
 @dataclass
@@ -189,14 +193,14 @@ def _shadow_calibrations(cells: DataFrame, scenes: DataFrame) -> tuple[DataFrame
     placed = materialise(
         located.select(
             "scene_id", "pixel_size", F.col("_sun.elevation").alias("elevation"), F.col("_sun.azimuth").alias("azimuth"),
-            F.col("_sun.usable").alias("sun_usable"), refused.alias("early"),
+            F.col("_sun.usable").alias("sun_usable"), refused.alias("early"), F.col("_when").alias("taken"),
         )
     )
     live = placed.where("early IS NULL AND sun_usable")
     mask = materialise(shadow.shadow_mask(_only(cells, live)))
     runs = shadow.shadow_runs(mask, live)
     report = shadow.height_report(mask, runs, placed.select("scene_id", "elevation", "pixel_size"))
-    report = report.join(placed.select("scene_id", "early", F.col("elevation").alias("sun_elevation"), F.col("azimuth").alias("sun_azimuth")), "scene_id")
+    report = report.join(placed.select("scene_id", "early", F.col("elevation").alias("sun_elevation"), F.col("azimuth").alias("sun_azimuth"), "taken"), "scene_id")
     report = materialise(
         report.withColumn("reason", F.coalesce("early", "reason")).withColumn("usable", F.col("early").isNull() & F.col("usable")).drop("early")
     )
@@ -207,6 +211,17 @@ def _shadow_calibrations(cells: DataFrame, scenes: DataFrame) -> tuple[DataFrame
 _CALIBRATION = ["scene_id", "source", "method", "scale", "shift", "orientation", "orientation_sign", "reference_samples", "benchmark_only", "status", "reason"]
 
 
+_SUN_NAMES = ("solar_elevation_degrees", "solar_azimuth_degrees", "acquisition_time")
+_SUN = "struct<solar_elevation_degrees:double,solar_azimuth_degrees:double,acquisition_time:string>"
+
+
+def _sun_of(report: DataFrame) -> Column:
+    """Where the sun stood, and the time in UTC, for the record of a shadow calibration."""
+    time = F.date_format(F.to_utc_timestamp("taken", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    values = (half_even("sun_elevation", 3), half_even("sun_azimuth", 3), F.concat(time, F.lit("+00:00")))
+    return F.struct(*[v.alias(n) for v, n in zip(values, _SUN_NAMES, strict=True)])
+
+
 def _uniform(fits: DataFrame) -> DataFrame:
     out = fits if "reason" in fits.columns else fits.withColumn("reason", F.when(F.col("status") != "ok", F.col("status")))
     return out.select(*_CALIBRATION)
@@ -352,7 +367,7 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
         shadow_fits, report = _shadow_calibrations(_only(cells, located), located)
         shadow_fits = materialise(_uniform(shadow_fits))
         fits.append(shadow_fits.where("status = 'ok'"))
-        shadow_shares = report.select("scene_id", "shadow_fraction")
+        shadow_shares = report.select("scene_id", "shadow_fraction", _sun_of(report).alias("_sun"))
         shadow_reasons = shadow_fits.where("status <> 'ok'").select("scene_id", F.col("reason").alias("shadow_reason"))
         remaining = remaining.join(shadow_fits.where("status = 'ok'").select("scene_id"), "scene_id", "left_anti")
     if truth is not None:
@@ -426,14 +441,17 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
             .alias("coverage"),
         ),
     )
-    runs = runs.select(
+    sun = F.when(F.col("source") == "scene_shadows", F.col("_sun")) if shadow_shares is not None else F.lit(None).cast(_SUN)
+    device = inputs.device or getattr(inputs.estimator, "device", None) or "unknown"
+    runs = runs.withColumn("_sun", sun).select(
         "scene_id",
         "job_id",
         mode.alias("mode"),
         text.output_basis(mode, F.col("source").isNotNull(), F.col("has_truth")).alias("output_basis"),
         "model",
+        F.lit(str(device)).alias("device"),
         F.struct("quality_mode", "passes", "tiled", "tile_count", "bounded_width", "bounded_height").alias("inference"),
-        F.when(F.col("source").isNotNull(), F.struct(*_CALIBRATION[1:])).alias("calibration"),
+        F.when(F.col("source").isNotNull(), F.struct(*_CALIBRATION[1:], *[F.col(f"_sun.{n}") for n in _SUN_NAMES])).alias("calibration"),
         "metrics",
         reference.alias("reference"),
         "datum_offset",
@@ -449,6 +467,43 @@ def calibrate_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[s
     }
 
 
+def _map_rings(inputs: Inputs, scenes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rings of map buildings, with the pairs that name their scenes.
+
+    With a store, areas it lacks are built and stored first, and all rings are
+    read from there with their scene; without map tables only stored areas count.
+    """
+    given = inputs.nodes is not None and inputs.ways is not None
+    if inputs.map_store is None:
+        if not given:
+            return None, None
+        near = inputs.way_scenes
+        if near is None:
+            near = osm.ways_in_scenes(osm.way_bounds(inputs.ways, inputs.nodes), osm.scene_boxes(scenes))
+        return vector.way_rings(inputs.ways, inputs.nodes), near
+    spark, path = scenes.sparkSession, inputs.map_store
+    boxes = materialise(osm.with_cache_key(osm.scene_boxes(scenes)))
+    known = stores.stored(spark, path)
+    if given:
+        missing = boxes
+        if known:
+            missing = materialise(osm.cached_and_missing(boxes, stores.stored_keys(spark, path, "cache_key"))[1])
+        if not missing.isEmpty():
+            pairs = inputs.way_scenes
+            if pairs is None:
+                pairs = osm.ways_in_scenes(osm.way_bounds(inputs.ways, inputs.nodes), missing)
+            # areas of several scenes are stored once
+            pairs = materialise(
+                pairs.join(missing.select("scene_id", "cache_key"), "scene_id").select("cache_key", F.col("way_id").alias("osm_id")).distinct()
+            )
+            wanted = inputs.ways.join(pairs.select(F.col("osm_id").alias("id")), "id", "left_semi")
+            osm.store_ways(vector.way_rings(wanted, inputs.nodes).join(pairs, "osm_id"), path, missing)
+    elif not known:
+        return None, None
+    kept = stores.stored_rows(spark, path, "cache_key", boxes)
+    return kept.join(boxes.select("scene_id", "cache_key"), "cache_key").drop("cache_key"), None
+
+
 def display_scenes(measured: dict[str, DataFrame], inputs: Inputs, settings: Settings | None = None) -> dict[str, DataFrame]:
     """Display part: refined, levelled surface, footprints and mesh tables.
 
@@ -478,12 +533,10 @@ def display_scenes(measured: dict[str, DataFrame], inputs: Inputs, settings: Set
     accepted = judged.where("accepted")
     rings = outlines.region_outlines(labels.join(materialise(accepted.select("scene_id", "label")), ["scene_id", "label"], "left_semi"))
     segmented = regions.footprints(judged, rings, extent(levelled))
-    if inputs.nodes is not None and inputs.ways is not None:
-        usable = scenes.where("crs IS NOT NULL AND transform IS NOT NULL")
-        near = inputs.way_scenes
-        if near is None:
-            near = osm.ways_in_scenes(osm.way_bounds(inputs.ways, inputs.nodes), osm.scene_boxes(usable))
-        mapped = vector.osm_footprints(vector.way_rings(inputs.ways, inputs.nodes), usable, near)
+    usable = scenes.where("crs IS NOT NULL AND transform IS NOT NULL")
+    rings, near = _map_rings(inputs, usable)
+    if rings is not None:
+        mapped = vector.osm_footprints(rings, usable, near)
         mapped = vector.raise_footprints(materialise(mapped), levelled, "display", "ground", scenes)
         footprints = vector.choose_footprints(mapped, segmented)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relief.functions.core import is_finite, valid_cell
@@ -9,6 +11,8 @@ from relief.functions.pixel import preview_unit
 from relief.functions.ramps import preview_colour
 from relief.operators.grid import attach
 from relief.operators.stats import exact_percentiles
+from relief.session import materialise
+from relief.stores import replace_rows
 
 NODATA = -9999.0
 # Tag written with a calibrated grid, by calibration source.
@@ -37,12 +41,20 @@ def preview_table(cells: DataFrame, value: str, valid: str | None = "valid") ->
 
 
 def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
-    """Store every table of an analysis under its name, and the runs as JSON too."""
+    """Store every table of an analysis under its name, and the runs as JSON too.
+
+    With `overwrite` the rows of the scenes of this analysis, accepted or not,
+    take the place of their earlier ones in every table; other scenes stay.
+    """
+    judged = [tables[name].select("scene_id") for name in ("runs", "rejects") if name in tables]
+    scenes = materialise(reduce(DataFrame.unionByName, judged).distinct()) if judged else None
     for name, table in tables.items():
-        write_scene_table(table, f"{path}/{name}", overwrite)
-    if "runs" in tables:
-        documents = strict_json(tables["runs"]).select("json")
-        documents.write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/runs_json")
+        write_scene_table(table, f"{path}/{name}", overwrite, scenes)
+    if judged:
+        # one document for each scene: its run, or why there is none
+        documents = [strict_json(tables[name]) for name in ("rejects", "runs") if name in tables]
+        writer = reduce(DataFrame.unionByName, documents).write.mode("overwrite" if overwrite else "errorifexists")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").text(f"{path}/runs_json")
 
 
 def calibrated_export(
@@ -100,13 +112,14 @@ def _clean(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def write_scene_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Parquet, refusing to replace a table unless told to.
+def write_scene_table(df: DataFrame, path: str, overwrite: bool = False, scenes: DataFrame | None = None) -> None:
+    """Parquet by scene, refusing to replace a table unless told to.
 
-    Rows are clustered by scene and row band so a large scene is many files.
+    When told to, the scenes of `df` and of `scenes` are replaced and the others
+    stay. Rows are spread by row band, so a large scene is many files.
     """
     band = [F.expr("row div 4096")] if "row" in df.columns else []
-    df.repartition("scene_id", *band).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    replace_rows(df, path, "scene_id", scenes, band, overwrite)
 
 
 def height16_tables(grid: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +131,7 @@ def height16_tables(grid: DataFrame, headers: DataFrame) -> tuple[DataFrame, Dat
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """The fields the command-line tools print."""
-    wanted = ["job_id", "scene_id", "mode", "model", "output_basis", "calibration", "metrics", "reference", "notices"]
+    wanted = ["job_id", "scene_id", "mode", "model", "device", "output_basis", "calibration", "metrics", "reference", "notices"]
     return runs.select(*[c for c in wanted if c in runs.columns])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from relief.functions.projection import forward, reproject_point
 from relief.operators.quadtree import overlapping
+from relief.stores import replace_rows
 
 _ELEMENT = T.StructType(
     [
@@ -40,16 +41,23 @@ def cache_key(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column
     return F.substring(F.sha2(F.format_string("%.5f,%.5f,%.5f,%.5f", min_lat, min_lon, max_lat, max_lon), 256), 1, 16)
 
 
+def with_cache_key(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumn("cache_key", cache_key(*[F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]))
+
+
 def cached_and_missing(scenes: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scenes whose key is in the stored table, and those still to be loaded."""
-    keyed = scenes.withColumn("cache_key", cache_key(*[F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]))
+    keyed = with_cache_key(scenes)
     keys = cache.select("cache_key").distinct()
     return keyed.join(keys, "cache_key", "left_semi"), keyed.join(keys, "cache_key", "left_anti")
 
 
-def store_ways(ways: DataFrame, path: str) -> None:
-    """Append ways under their cache key, one folder per key."""
-    ways.write.mode("append").partitionBy("cache_key").parquet(path)
+def store_ways(ways: DataFrame, path: str, keys: DataFrame | None = None) -> None:
+    """Store ways under their cache key, in place of earlier ones.
+
+    Keys of `keys` without ways are kept too, as areas known to hold none.
+    """
+    replace_rows(ways, path, "cache_key", keys)
 
 
 def way_bounds(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,4 +122,5 @@ __all__ = [
     "store_ways",
     "way_bounds",
     "ways_in_scenes",
+    "with_cache_key",
 ]

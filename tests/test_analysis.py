@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grids import ramp
 from relief.plans import demo
-from relief.plans.analyze import Inputs, Settings, analyze_scenes, calibrate_scenes
+from relief.plans.analyze import Inputs, Settings, analyze_scenes, calibrate_scenes, display_scenes
 from relief.streaming import intake
 
 SCENES = "scene_id string, filename string, width int, height int, crs string, transform array<double>, tags map<string,string>, gcp_sampling string, quality_mode string"
@@ -122,6 +123,9 @@ def test_shadows_give_a_scale_when_the_image_is_located(spark, grid):
     low, high = np.percentile(depth.astype(float), (5, 99))
     scale = run["calibration"]["scale"]
     assert run["calibration"]["shift"] == pytest.approx(-scale * low, abs=1e-3)
+    noon = run["calibration"]
+    assert noon["acquisition_time"] == "2024-03-20T04:30:00+00:00" and run["device"] == "unknown"
+    assert 10 < noon["solar_elevation_degrees"] < 80 and 60 < noon["solar_azimuth_degrees"] < 180
     assert run["datum_offset"] > 250 and not run["metrics"]["calibration_refit"]
     # the shift serves the comparison only
     kept = out["heights"].agg(F.max("height")).first()[0]
@@ -175,7 +179,7 @@ def test_display_is_separate_from_measurement(spark, grid, array):
     assert out["normals"].count() == size * size
 
 
-def test_map_buildings_find_their_scene(spark, grid):
+def test_map_buildings_find_their_scene(spark, grid, tmp_path):
     """Ways reach their scene through their bounds, also when delivered twice."""
     from relief.functions.projection import from_mercator
 
@@ -205,6 +209,15 @@ def test_map_buildings_find_their_scene(spark, grid):
     assert len(prints) == 12 and {p["source"] for p in prints} == {"osm"}
     assert any(n.startswith("12 blueprint-accurate") for n in out["notices"].first()["notices"])
 
+    # the first run with a store fills it, later ones need no map tables
+    folder = str(tmp_path / "areas")
+    shape = lambda p: (p["osm_id"], p["roof_height"], [(q["u"], q["v"]) for q in p["points"]])
+    again = display_scenes(out, replace(inputs, map_store=folder), settings)["footprints"].collect()
+    alone = display_scenes(out, replace(inputs, map_store=folder, nodes=None, ways=None), settings)["footprints"].collect()
+    assert sorted(map(shape, prints)) == sorted(map(shape, again)) == sorted(map(shape, alone))
+    elsewhere = display_scenes(out, replace(inputs, map_store=str(tmp_path / "none"), nodes=None, ways=None), settings)
+    assert {p["source"] for p in elsewhere["footprints"].collect()} == {"segmentation"}
+
 
 def test_demo_run(spark):
     out = demo.demo_run(spark)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relief import sinks
+from relief import sinks, stores
 from relief.functions import pixel, projection, ramps, ring, text
 from relief.operators import mesh, models, vector
 from relief.operators.grid import extent
@@ -134,6 +134,59 @@ def test_stored_ways_are_found_again(spark, tmp_path):
     osm.store_ways(keyed.select("cache_key", F.lit(7).alias("id")), str(tmp_path / "cache"))
     hit, miss = osm.cached_and_missing(scenes, spark.read.parquet(str(tmp_path / "cache")))
     assert [r["scene_id"] for r in hit.collect()] == ["a"] and [r["scene_id"] for r in miss.collect()] == ["b"]
+    # an area without ways is stored as such, and storing ways again leaves no repeats
+    both = osm.with_cache_key(scenes)
+    for _ in range(2):
+        osm.store_ways(keyed.select("cache_key", F.lit(8).alias("id")), str(tmp_path / "cache"), both)
+    keys = stores.stored_keys(spark, str(tmp_path / "cache"), "cache_key")
+    assert osm.cached_and_missing(scenes, keys)[1].count() == 0
+    assert [r["id"] for r in stores.stored_rows(spark, str(tmp_path / "cache"), "cache_key").collect()] == [8]
+
+
+def test_a_later_run_replaces_its_scenes_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "scene_id string, row int, v double")
+    read = lambda only=None: sorted((r["scene_id"] or "", r["row"], r["v"]) for r in stores.stored_rows(spark, path, only=only).collect())
+    names = lambda *ids: spark.createDataFrame([(i,) for i in ids], "scene_id string")
+    stores.replace_rows(make([("007", 0, 1.0), ("007", 5000, 2.0), ("8", 0, 3.0), (None, 1, 4.0)]), path)
+    with pytest.raises(Exception):
+        stores.replace_rows(make([("8", 0, 0.0)]), path, replace=False)
+    assert read() == [("", 1, 4.0), ("007", 0, 1.0), ("007", 5000, 2.0), ("8", 0, 3.0)]
+    # "8" is written again and "007" has nothing left; the others stay
+    stores.replace_rows(make([("8", 2, 9.0), ("9", 0, 5.0)]), path, keys=names("007", "8", "9"))
+    assert read() == [("", 1, 4.0), ("8", 2, 9.0), ("9", 0, 5.0)]
+    assert {r[0] for r in stores.stored_keys(spark, path).collect()} == {None, "007", "8", "9"}
+    stores.replace_rows(make([(None, 2, 6.0), ("", 3, 7.0)]), path, keys=names(None, ""))
+    assert read() == [("", 2, 6.0), ("", 3, 7.0), ("8", 2, 9.0), ("9", 0, 5.0)]
+    # no rows at all, and a table that does not exist yet
+    stores.replace_rows(make([]), path, keys=names("9", None))
+    assert read() == [("8", 2, 9.0)]
+    stores.replace_rows(make([]), str(tmp_path / "new"), keys=names("x"))
+    assert stores.stored_rows(spark, str(tmp_path / "new")).count() == 0
+    wanted = stores.stored_rows(spark, path, only=names("8", "9"))
+    assert [r["v"] for r in wanted.collect()] == [9.0]
+
+
+def test_reading_some_scenes_reads_their_partitions_only(spark, tmp_path):
+    path, listed = str(tmp_path / "t"), str(tmp_path / "wanted")
+    rows = spark.range(400).selectExpr("concat('s', id % 40) scene_id", "cast(id as int) row")
+    stores.replace_rows(rows, path)
+    spark.createDataFrame([("s3",), ("s7",)], "scene_id string").write.parquet(listed)
+    some = stores.stored_rows(spark, path, only=spark.read.parquet(listed))
+    assert some.count() == 20
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_runs_follow_their_scenes(spark, tmp_path):
+    path = str(tmp_path / "run")
+    runs = lambda *ids: spark.createDataFrame([(i, 1.0) for i in ids], "scene_id string, mae double")
+    rejects = lambda *ids: spark.createDataFrame([(i, "no") for i in ids], "scene_id string, reason string")
+    sinks.write_run({"runs": runs("a", "b"), "rejects": rejects("c")}, path)
+    sinks.write_run({"runs": runs("c"), "rejects": rejects("b")}, path, overwrite=True)
+    kept = lambda name: sorted(r["scene_id"] for r in stores.stored_rows(spark, f"{path}/{name}").collect())
+    assert kept("runs") == ["a", "c"] and kept("rejects") == ["b"]
+    documents = [json.loads(r[0]) for r in spark.read.text(f"{path}/runs_json").select("value").collect()]
+    assert {d["scene_id"]: "reason" in d for d in documents} == {"a": False, "b": True, "c": False}
 
 
 def test_calibrated_export_keeps_grid_tags_and_mask(spark, grid):

@@ -4,6 +4,7 @@ import datetime as dt
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,28 @@ def test_intake_analyses_each_job_once_and_loses_none(spark, tmp_path):
     served, refused = go(manifest("late", "w", hours=-3), manifest("a", "x", hours=6), manifest("c", "z", hours=1))
     assert [job for job, _, _ in served] == ["a", "c", "late"]
     assert [job for job, reason in refused if "already" in reason] == ["a", "a"] and len(refused) == 4
+    # a third start knows the jobs of both; all of one job in one file, null times and names first
+    served, refused = go(manifest("late", "v"), *[manifest("d", f"s{k}", hours=k % 3) for k in range(9)], ("d", None, None, 10, 10, "nearest", "fast", False, False))
+    assert [job for job, _, _ in served] == ["a", "c", "d", "late"] and len(refused) == 14
+    kept = spark.read.parquet(out).where("job_id = 'd' AND reason IS NULL").collect()
+    assert [r["scene_id"] for r in kept] == [None]
+    assert spark.read.parquet(out).count() == 18
+
+
+def test_jobs_are_marked_over_several_pieces():
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists = value == (True,)
+
+    def piece(*rows):
+        return pd.DataFrame([("j", o, n, f"{o}{n}") for o, n in rows], columns=["job_id", "order", "named", "manifest"])
+
+    def go(state, *pieces):
+        return [tuple(r) for out in intake._first_of_job(("j",), iter(pieces), state) for r in out[["manifest", "repeated"]].itertuples(index=False)]
+
+    state = State()
+    marked = go(state, piece((5, "b"), (7, "a")), piece(), piece((5, "a"), (9, "c"), (5, "a")), piece((6, "z")))
+    assert state.exists and sorted(marked) == [("5a", False), ("5a", True), ("5b", True), ("6z", True), ("7a", True), ("9c", True)]
+    assert go(state, piece((1, "a"))) == [("1a", True)] and go(State(), piece()) == []

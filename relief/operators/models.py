@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from relief.functions.core import half_even
 from relief.operators.evaluate import benchmark_refit
@@ -29,8 +29,13 @@ def timing_report(timings: DataFrame) -> DataFrame:
 
 
 def rank_models(scores: DataFrame) -> DataFrame:
-    """Best edge alignment first; models without a score are left out."""
-    return scores.where("edge_alignment IS NOT NULL").orderBy(F.col("edge_alignment").desc(), "model")
+    """Best edge alignment first, with its rank; models without a score are left out.
+
+    `scores` has one row per model of a sweep, so one window holds them all.
+    """
+    order = [F.col("edge_alignment").desc(), F.col("model")]
+    ranked = scores.where("edge_alignment IS NOT NULL").withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked.orderBy("rank")
 
 
 def sweep(predictions: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:

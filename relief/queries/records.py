@@ -222,7 +222,7 @@ def model_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "edge_ranking",
     """WITH s AS (SELECT event_type AS model, round_even(avg(value) / 100e0 * 10000e0, 0) / 10000e0 + 0e0 AS edge_alignment FROM events GROUP BY 1)
-    SELECT model, edge_alignment FROM s""",
+    SELECT model, edge_alignment, CAST(row_number() OVER (ORDER BY edge_alignment DESC, model) AS INTEGER) AS "rank" FROM s""",
 )
 def edge_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ("fits", "pixels", "filters", "sampling", "zones", "tiling", "shadows", "vectors", "meshes", "records")
+MODULES = ("fits", "pixels", "filters", "sampling", "zones", "tiling", "shadows", "vectors", "meshes", "records", "runs")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -1,7 +1,11 @@
-"""Edge-stopping diffusion on halo tiles.
+"""Edge-stopping diffusion by rounds on tiles of a fixed size.
 
-One step reads the four neighbours, so k steps depend on cells at most k away: a
-tile with a halo of k gives the same result as the whole grid, after one shuffle.
+One step reads the four neighbours, so k steps depend on cells at most k away. A
+tile that holds its neighbours' borders, k cells wide, is therefore right after
+k steps without any further exchange. Steps are taken in rounds: in each, every
+tile goes on as one packed row and only strips of its border go to the eight
+tiles around it. The size of a tile and of its strips depends neither on the
+scene nor on the number of steps.
 """
 
 from __future__ import annotations
@@ -11,11 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relief.functions.core import EPS32, dbl, is_finite
-from relief.operators.focal import TILE, into_tiles
+from relief.operators.focal import TILE
 from relief.operators.grid import attach
 from relief.operators.stats import exact_percentiles
+from relief.session import materialise
 
 STEP = 0.25  # stability limit of the explicit four-neighbour scheme
+SIDE = 512  # cells along a tile
+ROUND = 32  # most steps between two exchanges, at most SIDE
+KEEP = 8  # rounds after which the tiles are written, which ends their lineage
+
+_PIECE = ["top", "left", "height", "width", "limit", "data"]
 
 
 def _steps(grid: np.ndarray, threshold: float, iterations: int) -> np.ndarray:
@@ -35,6 +45,37 @@ def _steps(grid: np.ndarray, threshold: float, iterations: int) -> np.ndarray:
     return grid
 
 
+def _own(grid: np.ndarray, corner: tuple[int, int], at: tuple[int, int], side: int, halo: int = 0):
+    """The part of a grid that tile `at` covers, with `halo` cells around it, and its corner."""
+    start = [max(c, a * side - halo) for c, a in zip(corner, at)]
+    stop = [min(c + n, (a + 1) * side + halo) for c, n, a in zip(corner, grid.shape, at)]
+    rows, cols = (slice(s - c, max(e, s) - c) for s, e, c in zip(start, stop, corner))
+    return grid[rows, cols], tuple(start)
+
+
+def _sent(key: tuple, grid: np.ndarray, corner: tuple[int, int], limit: float, side: int, halo: int) -> pd.DataFrame:
+    """A tile for itself and strips of its border for the tiles around it, as packed rows."""
+    scene, ty, tx = key
+    rows = []
+    for y in (ty - 1, ty, ty + 1):
+        for x in (tx - 1, tx, tx + 1):
+            part, (top, left) = _own(grid, corner, (y, x), side, halo)
+            if part.size and y >= 0 and x >= 0:
+                rows.append((scene, y, x, top, left, *part.shape, limit, part.tobytes()))
+    return pd.DataFrame(rows, columns=[*TILE, *_PIECE])
+
+
+def _joined(pieces: pd.DataFrame, kind) -> tuple[np.ndarray, tuple[int, int]]:
+    """A tile and the strips around it as one grid; cells that do not exist are NaN."""
+    top, left = int(pieces["top"].min()), int(pieces["left"].min())
+    bottom, right = (int((pieces[a] + pieces[b]).max()) for a, b in (("top", "height"), ("left", "width")))
+    grid = np.full((bottom - top, right - left), np.nan, dtype=kind)
+    for p in pieces.itertuples():
+        part = np.frombuffer(p.data, dtype=kind).reshape(p.height, p.width)
+        grid[p.top - top : p.top - top + p.height, p.left - left : p.left - left + p.width] = part
+    return grid, (top, left)
+
+
 def diffuse(
     cells: DataFrame,
     value: str,
@@ -47,6 +88,7 @@ def diffuse(
     """Level the surface inside regions; the threshold is a share of the spread.
 
     Invalid cells diffuse as the median and keep their own value in the output.
+    The result is the same for every size of tiles and rounds.
     """
     ok = is_finite(value) if valid is None else is_finite(value) & valid
     if iterations <= 0:
@@ -59,30 +101,56 @@ def diffuse(
         F.when(span > EPS32, F.greatest(span * float(kappa), F.lit(EPS32))).alias("_limit"),
         ok.alias("_ok"),
     )
-    side = max(512, 6 * iterations)
-    kind = np.float32 if storage == "float" else np.float64
-
-    def level(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group["row"].to_numpy()
-        cols = group["col"].to_numpy()
-        top, left = rows.min(), cols.min()
-        grid = np.full((rows.max() - top + 1, cols.max() - left + 1), np.nan, dtype=kind)
-        grid[rows - top, cols - left] = group["_w"].to_numpy(dtype=kind)
-        limit = group["_limit"].iloc[0]
-        if np.isfinite(limit):
-            grid = _steps(grid, float(limit), iterations)
-        ty, tx = int(group["_ty"].iloc[0]), int(group["_tx"].iloc[0])
-        mine = (rows // side == ty) & (cols // side == tx)
-        group["_new"] = grid[rows - top, cols - left]
-        return group.loc[mine, [*kept, "_new"]]
-
-    # the cells' own columns travel with the tile, so nothing is joined afterwards
+    side, kind = SIDE, np.float32 if storage == "float" else np.float64
+    rounds = -(-iterations // min(ROUND, side))
+    steps = [iterations // rounds + (k < iterations % rounds) for k in range(rounds)]
+    tiled = ready.withColumns({"_ty": F.expr(f"cast(row div {side} as int)"), "_tx": F.expr(f"cast(col div {side} as int)")})
+    packed = T.StructType(
+        [ready.schema["scene_id"]]
+        + [T.StructField(n, T.IntegerType()) for n in (*TILE[1:], *_PIECE[:4])]
+        + [T.StructField("limit", T.DoubleType()), T.StructField("data", T.BinaryType())]
+    )
+
+    def pack(halo: int):
+        def first(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            rows, cols = group["row"].to_numpy(), group["col"].to_numpy()
+            top, left = int(rows.min()), int(cols.min())
+            grid = np.full((int(rows.max()) - top + 1, int(cols.max()) - left + 1), np.nan, dtype=kind)
+            grid[rows - top, cols - left] = group["_w"].to_numpy(dtype=kind)
+            return _sent(key, grid, (top, left), float(group["_limit"].iloc[0]), side, halo)
+
+        return first
+
+    def advance(count: int, halo: int):
+        def step(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+            grid, corner = _joined(pieces, kind)
+            limit = float(pieces["limit"].iloc[0])
+            grid, corner = _own(_steps(grid, limit, count), corner, key[1:], side)
+            return _sent(key, grid, corner, limit, side, halo)
+
+        return step
+
     kept = [*cells.columns, "_ok", "_limit"]
+
+    def settle(group: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        new = np.full(len(group), np.nan, dtype=kind)
+        if len(group) and len(pieces):
+            grid, (top, left) = _joined(pieces, kind)
+            grid = _steps(grid, float(pieces["limit"].iloc[0]), steps[-1])
+            new = grid[group["row"].to_numpy() - top, group["col"].to_numpy() - left]
+        return group[kept].assign(_new=new)
+
+    # scenes without a usable spread are not sent
+    narrow = tiled.where(F.col("_limit").isNotNull()).select(*TILE, "row", "col", "_w", "_limit")
+    pieces = narrow.groupBy(*TILE).applyInPandas(pack(steps[0]), packed)
+    for k in range(rounds - 1):
+        if k % KEEP == KEEP - 1:
+            pieces = materialise(pieces)
+        pieces = pieces.groupBy(*TILE).applyInPandas(advance(steps[k], steps[k + 1]), packed)
+    # the last round meets the cells, whose own columns are shuffled this once
     schema = T.StructType([ready.schema[c] for c in kept] + [T.StructField("_new", ready.schema["_w"].dataType)])
-    levelled = into_tiles(ready.withColumn("_limit", F.coalesce("_limit", F.lit(float("nan")))), iterations, side).groupBy(
-        *TILE
-    ).applyInPandas(level, schema)
-    # invalid cells and scenes without a usable spread are left as they are
-    changed = F.col("_ok") & ~F.isnan("_limit")
+    levelled = tiled.groupBy(*TILE).cogroup(pieces.groupBy(*TILE)).applyInPandas(settle, schema)
+    # invalid cells are left as they are
+    changed = F.col("_ok") & F.col("_limit").isNotNull()
     out = F.when(changed, F.col("_new")).otherwise(F.col(value).cast(storage))
     return levelled.withColumn(alias, out).drop("_ok", "_limit", "_new")

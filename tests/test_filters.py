@@ -86,6 +86,36 @@ def test_diffusion_over_several_tiles(grid, array):
     assert np.allclose(out, expected, atol=1e-12)
 
 
+@pytest.mark.parametrize(("side", "round_", "steps"), [(16, 4, 30), (5, 32, 11), (64, 8, 8)])
+def test_diffusion_is_the_same_in_rounds(grid, array, noise, monkeypatch, side, round_, steps):
+    monkeypatch.setattr(diffuse, "SIDE", side)
+    monkeypatch.setattr(diffuse, "ROUND", round_)
+    monkeypatch.setattr(diffuse, "KEEP", 3)
+    expected = _diffuse(noise, steps, (noise.max() - noise.min()) * 0.12)
+    out = array(diffuse.diffuse(grid(v=noise), "v", steps, storage="double"), "levelled")
+    assert np.allclose(out, expected, atol=1e-12)
+
+
+def test_diffusion_of_ragged_and_flat_scenes(spark, grid, monkeypatch):
+    """Missing cells and whole missing tiles conduct nothing; flat scenes and other columns stay."""
+    monkeypatch.setattr(diffuse, "SIDE", 8)
+    monkeypatch.setattr(diffuse, "ROUND", 3)
+    values = np.random.default_rng(8).random((12, 40))
+    values[:, 17:31] = np.nan
+    whole = grid(v=values, extra=values * 2).where("v IS NOT NULL AND NOT isnan(v)")
+    flat = grid("flat", v=np.full((3, 3), 2.0), extra=np.ones((3, 3)))
+    out = diffuse.diffuse(whole.unionByName(flat), "v", 10, storage="double").toPandas()
+    assert set(out.columns) == {"scene_id", "row", "col", "v", "extra", "levelled"}
+    assert (out[out.scene_id == "flat"].levelled == 2.0).all()
+    limit = (np.nanmax(values) - np.nanmin(values)) * 0.12
+    got = np.full(values.shape, np.nan)
+    mine = out[out.scene_id == "a"]
+    got[mine.row, mine.col] = mine.levelled
+    assert np.allclose(got[:, :17], _diffuse(values[:, :17], 10, limit), atol=1e-12)
+    assert np.allclose(got[:, 31:], _diffuse(values[:, 31:], 10, limit), atol=1e-12)
+    assert len(mine) == 12 * 26 and np.allclose(mine.extra, 2 * mine.v)
+
+
 def test_diffusion_leaves_invalid_cells(grid, array, noise):
     valid = np.ones_like(noise, dtype=bool)
     valid[4, 4] = False

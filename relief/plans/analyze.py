@@ -131,6 +131,8 @@ class Settings:
     max_pixels: int | None = None
     gcp_sampling: str = "bilinear"
     quality_mode: str = "fast"
+    # size of quantile sketches for the bounds of previews; exact percentiles if none
+    preview_sketch: int | None = None
 
 
 def _with_defaults(scenes: DataFrame, settings: Settings) -> DataFrame:
@@ -574,7 +576,7 @@ def analyze_scenes(inputs: Inputs, settings: Settings | None = None) -> dict[str
     return {
         **measured,
         **shown,
-        **_exports(measured, shown, inputs),
+        **_exports(measured, shown, inputs, settings.preview_sketch),
         "notices": _all_notices(measured["runs"], shown, settings),
     }
 
@@ -600,7 +602,7 @@ def _all_notices(runs: DataFrame, shown: dict[str, DataFrame], settings: Setting
     return both.select("scene_id", F.concat("notices", F.array_compact(display)).alias("notices"))
 
 
-def _exports(measured: dict[str, DataFrame], shown: dict[str, DataFrame], inputs: Inputs) -> dict[str, DataFrame]:
+def _exports(measured: dict[str, DataFrame], shown: dict[str, DataFrame], inputs: Inputs, sketch: int | None) -> dict[str, DataFrame]:
     """K1, K3, K4 and K5: raw depth, calibrated grid, previews, masks."""
     heights = measured["heights"]
     grid, headers = sinks.calibrated_export(heights, measured["scenes"], measured["calibrations"])
@@ -610,10 +612,10 @@ def _exports(measured: dict[str, DataFrame], shown: dict[str, DataFrame], inputs
         "calibrated": grid,
         "calibrated_headers": headers,
         "height16_masks": masks,
-        "depth_preview": sinks.preview_table(heights, "depth"),
-        "height_preview": sinks.preview_table(heights.where("height IS NOT NULL"), "height"),
+        "depth_preview": sinks.preview_table(heights, "depth", sketch=sketch),
+        "height_preview": sinks.preview_table(heights.where("height IS NOT NULL"), "height", sketch=sketch),
     }
     for name, given in (("truth", inputs.truth), ("dem", inputs.dem)):
         if given is not None:
-            out[f"{name}_preview"] = sinks.preview_table(given[0], "value")
+            out[f"{name}_preview"] = sinks.preview_table(given[0], "value", sketch=sketch)
     return out

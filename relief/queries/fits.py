@@ -136,3 +136,34 @@ def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "scene_id", "n", *[half_even(c, 6).alias(c) for c in ("low", "high", "p02", "p50", "p98")]
     )
+
+
+SKETCH = 512
+_SHARES = {"p02": 0.02, "p50": 0.5, "p98": 0.98}
+
+
+@query(
+    "sketched_percentiles",
+    f"""WITH {fx.TRUTH}
+    SELECT scene_id, count(*) AS n, {q6('min(depth)')} AS low, {q6('max(depth)')} AS high,
+      {', '.join(f'TRUE AS {name}_near' for name in _SHARES)} FROM truth WHERE valid GROUP BY scene_id""",
+)
+def sketched_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the rank of every sketched percentile, counted over all cells, is within four times the bound."""
+    from relief.operators.grid import attach
+    from relief.operators.sketches import block_sketches, rank_error, sketched_percentiles as merged
+
+    cells = fx.truth(spark, sf_dir).where("valid")
+    found = merged(block_sketches(cells, "depth", size=SKETCH), _SHARES)
+    ranked = attach(cells, found).groupBy("scene_id", "n", "low", "high").agg(
+        *[
+            F.sum((F.col("depth").cast("double") <= F.col(name)).cast("double")).alias(name) for name in _SHARES
+        ]
+    )
+    off = 4 * rank_error(SKETCH)
+    return ranked.select(
+        "scene_id",
+        "n",
+        *[half_even(c, 6).alias(c) for c in ("low", "high")],
+        *[(F.abs(F.col(name) / F.col("n") - p) <= off).alias(f"{name}_near") for name, p in _SHARES.items()],
+    )

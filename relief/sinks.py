@@ -10,7 +10,7 @@ from relief.functions.core import is_finite, valid_cell
 from relief.functions.pixel import preview_unit
 from relief.functions.ramps import preview_colour
 from relief.operators.grid import attach
-from relief.operators.stats import exact_percentiles
+from relief.operators.sketches import percentiles
 from relief.session import materialise
 from relief.stores import replace_rows
 
@@ -30,10 +30,13 @@ def depth_export(cells: DataFrame, valid: str | None = "valid") -> DataFrame:
     return cells.select("scene_id", "row", "col", value.alias("depth"))
 
 
-def preview_table(cells: DataFrame, value: str, valid: str | None = "valid") -> DataFrame:
-    """K4: colours of a grid between its p0.5 and p99.5; invalid cells are dark."""
+def preview_table(cells: DataFrame, value: str, valid: str | None = "valid", sketch: int | None = None) -> DataFrame:
+    """K4: colours of a grid between its p0.5 and p99.5; invalid cells are dark.
+
+    The bounds are exact, or taken from quantile sketches of a given size.
+    """
     ok = is_finite(value) if valid is None else valid_cell(value, valid)
-    stats = exact_percentiles(cells, value, {"_p_low": 0.005, "_p_high": 0.995}, where=ok).drop("n")
+    stats = percentiles(cells, value, {"_p_low": 0.005, "_p_high": 0.995}, where=ok, sketch=sketch).drop("n")
     bounds = [F.col(c) for c in ("_p_low", "_p_high", "low", "high")]
     unit = attach(cells, stats, how="left").withColumn("_ok", ok).withColumn("_unit", preview_unit(value, F.col("_ok"), *bounds))
     colours = preview_colour(F.col("_unit").cast("float"), F.col("_ok"))

@@ -95,11 +95,14 @@ def diffuse(
         return cells.withColumn(alias, F.col(value).cast(storage))
     stats = exact_percentiles(cells, value, {"_median": 0.5}, where=valid).drop("n")
     span = F.col("high") - F.col("low")
-    ready = attach(cells, stats, how="left").select(
-        *cells.columns,
-        F.when(ok, dbl(value)).otherwise(F.col("_median")).cast(storage).alias("_w"),
-        F.when(span > EPS32, F.greatest(span * float(kappa), F.lit(EPS32))).alias("_limit"),
-        ok.alias("_ok"),
+    # read twice, by the first round and the last; what `cells` rests on may be costly
+    ready = materialise(
+        attach(cells, stats, how="left").select(
+            *cells.columns,
+            F.when(ok, dbl(value)).otherwise(F.col("_median")).cast(storage).alias("_w"),
+            F.when(span > EPS32, F.greatest(span * float(kappa), F.lit(EPS32))).alias("_limit"),
+            ok.alias("_ok"),
+        )
     )
     side, kind = SIDE, np.float32 if storage == "float" else np.float64
     rounds = -(-iterations // min(ROUND, side))
